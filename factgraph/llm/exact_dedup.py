@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: What the state store is set to while a stream runs: on disk, and without setting aside megabytes for each small file.
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -24,8 +25,9 @@ def _stream(slim: DataFrame, state_dir: str) -> DataFrame:
     inbox, groups = f"{state_dir}/inbox", f"{state_dir}/groups"
     slim.write.mode("append").parquet(inbox)
     schema = "digest string, keep_id " + slim.schema["id"].dataType.simpleString() + ", keep_at struct<file:string,row:bigint>, group_size long"
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(slim.schema).parquet(inbox)
@@ -39,7 +41,8 @@ def _stream(slim: DataFrame, state_dir: str) -> DataFrame:
             .start().awaitTermination()
         )
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # a digest is written anew by each batch that adds to it; counts only grow, so the largest is the last
     return spark.read.schema(schema).parquet(groups).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max_by("keep_at", "group_size").alias("keep_at"), F.max("group_size").alias("group_size"))
 
