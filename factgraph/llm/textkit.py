@@ -97,9 +97,9 @@ class Spans:
 def doubles(symbols: np.ndarray, k: int, base: int = BASES[1]) -> np.ndarray:
     """The hash of the ``k`` symbols from each position on, ``k`` a power of two; the last ``k - 1`` positions have none."""
     out, width = symbols, 1
-    power = U64(base)
+    power = base
     while width < k:
-        out = out[:-width] * power + out[width:] if len(out) > width else out[:0]
-        power = power * power
+        out = out[:-width] * U64(power) + out[width:] if len(out) > width else out[:0]
+        power = power * power % (1 << 64)
         width *= 2
     return mix(out)
