@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact_dedup, substring_dedup, suffix_dedup, token_files, url_filter
+from . import bpe, common, decontaminate, exact_dedup, language_model, near_dedup, quality, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.col("doc_id")
+    model = quality.fit(docs, labels.where(~quality.held_out(out, 4, 2)))
+    return quality.score(docs, model).select("doc_id", quality.held_out(out, 4, 2).alias("held_out"), "score", "predicted")
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -47,6 +58,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), F.col("doc_id")
+    scored = language_model.score(docs, docs.where(~quality.held_out(out, 10, 0)))
+    return scored.select("doc_id", quality.held_out(out, 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,11 +75,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPPER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_token_files": op6_token_files,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_language_model": op8_language_model,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
 }
