@@ -8,8 +8,9 @@ windows have their anchors at the same place and each window is looked at once.
 2. rows whose core is named nowhere else go (a count with partial sums, then a join that may be split by skew);
 3. of the others the text to both sides of the core is cut out, and rows with equal cores (128-bit names) meet in
    one task, where every window is compared with all others of its class by its offset and its sides;
-4. classes with many rows (a passage in thousands of documents) don't meet: each of their windows is counted by
-   its own 128-bit name with partial sums, and joined back;
+4. classes with many rows (a passage in thousands of documents) don't meet: rows with the same text on both sides
+   become one context first, with partial sums; contexts of a class meet if they are few, else each of their windows
+   is counted by its own 128-bit name; runs of repeated windows then return to the contexts' rows;
 5. runs of repeated windows are spans, which return to their documents.
 
 Nothing is capped or sampled, and no pairs are made.
@@ -23,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,7 +32,7 @@ from .textkit import BASES, Spans, mix, name_pair
 
 #: Units handled at a time within a task; a longer text is handled alone.
 CHUNK = 1 << 20
-#: Classes with more rows than this are counted window by window.
+#: Rows of a class that meet in one task at most.
 HOT = 4_000
 #: Low bits of a packed name that hold a place; texts may have up to 2**26 units.
 PLACE = np.uint64(26)
@@ -187,8 +188,33 @@ def _judge(units: Units, window: int, earlier: bool):
     return run
 
 
+def _judge_contexts(units: Units, window: int, earlier: bool):
+    """Runs of repeated windows (context, most, least, low) of whole classes of contexts, which stand for n rows with ids from low to high."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in common.whole_groups(batches, ["class"], 10_000):
+            row, offset, names = _windows(b, units, window, BASES[0])
+            names = name_pair(names, pd.factorize(b["class"])[0][row].astype(np.uint64))
+            _, which = np.unique(names, return_inverse=True)
+            if earlier:
+                low = b["low"].to_numpy()[row]
+                order = np.lexsort((low, which))
+                lead = np.concatenate(([True], which[order][1:] != which[order][:-1]))
+                low = low[order][lead][which]
+                hit = low < b["high"].to_numpy()[row]
+            else:
+                low = np.zeros(len(row), dtype=np.int64)
+                hit = np.bincount(which, weights=b["n"].to_numpy()[row])[which] > 1
+            row, offset, low = row[hit], offset[hit], low[hit]
+            if len(row):
+                i, j = runs((row[1:] == row[:-1]) & (offset[1:] == offset[:-1] - 1) & (low[1:] == low[:-1]))
+                yield pd.DataFrame({"context": b["context"].to_numpy()[row[i]], "most": offset[i], "least": offset[j], "low": low[i]})
+
+    return run
+
+
 def _named_windows(units: Units, window: int):
-    """Every window of classes that are too large to meet, under a 128-bit name of its own."""
+    """Every window of contexts that are too many to meet, under a 128-bit name of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -197,11 +223,38 @@ def _named_windows(units: Units, window: int):
                 key = np.frombuffer(b"".join(b["class"]), dtype=np.uint64).reshape(-1, 2)
                 row, offset, a = _windows(b, units, window, BASES[0])
                 _, _, c = _windows(b, units, window, BASES[1])
-                yield pd.DataFrame({"a": name_pair(key[row, 0], a).view(np.int64), "c": name_pair(key[row, 1], mix(c)).view(np.int64), "id": b["id"].to_numpy()[row], "tag": b["tag"].to_numpy()[row], "from": b["begin"].to_numpy()[row] - offset})
+                yield pd.DataFrame({"a": name_pair(key[row, 0], a).view(np.int64), "c": name_pair(key[row, 1], mix(c)).view(np.int64), "context": b["context"].to_numpy()[row], "offset": offset, "n": b["n"].to_numpy()[row], "low": b["low"].to_numpy()[row], "high": b["high"].to_numpy()[row]})
 
     return run
 
 
+def _hot_spans(rows: DataFrame, units: Units, window: int, earlier: bool, id_type: str) -> DataFrame:
+    """Spans of the rows of hot classes, by way of their contexts."""
+    spark = rows.sparkSession
+    sizes = F.encode(F.concat_ws(",", F.octet_length("left"), "most", "least"), "utf-8")
+    rows = common.staged(rows.withColumn("context", F.unhex(F.md5(F.concat(sizes, "class", "left", "right")))), "hot")
+    low, high = (F.min("id"), F.max("id")) if earlier else (F.lit(0).cast("long"), F.lit(0).cast("long"))
+    contexts = rows.groupBy("context").agg(*[F.any_value(c).alias(c) for c in ("class", "length", "most", "least", "left", "right")], F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"))
+    contexts = common.staged(contexts, "contexts")
+    many = common.staged(contexts.groupBy("class").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("class"), "hot-classes")
+    low_type = id_type if earlier else "bigint"
+    found_type = f"context binary, most int, least int, low {low_type}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = contexts.join(many, "class", "left_anti").repartition(n, "class").sortWithinPartitions("class")
+    found = few.mapInPandas(_judge_contexts(units, window, earlier), found_type)
+    if not many.isEmpty():
+        each = common.staged(contexts.join(many, "class", "left_semi").mapInPandas(_named_windows(units, window), f"a long, c long, context binary, offset int, n long, low {low_type}, high {low_type}"), "windows")
+        known = each.groupBy("a", "c").agg(F.sum("n").alias("total"), F.min("low").alias("first")).where("total > 1")
+        hit = each.join(known, ["a", "c"]).where("first < high" if earlier else "total > 1").select("context", "offset", F.col("first").alias("low"))
+        # neighbouring offsets with one first id are one run
+        island = F.col("offset") - F.row_number().over(Window.partitionBy("context", "low").orderBy("offset"))
+        hit = hit.withColumn("island", island).groupBy("context", "low", "island").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+        found = found.unionByName(hit.select("context", "most", "least", "low"))
+    own = rows.select("context", "id", "tag", "begin").join(found, "context")
+    own = own.where("id > low") if earlier else own
+    return own.select("id", "tag", (F.col("begin") - F.col("most")).alias("from"), (F.col("begin") - F.col("least") + window).alias("to"))
+
+
 def repeated_spans(docs: DataFrame, units: Units, window: int, earlier: bool) -> DataFrame:
     """(id, tag, text, spans): every row of ``docs`` (id, tag, text) with the spans that repeated windows cover.
 
@@ -227,11 +280,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, earlier: bool) ->
     spans = few.repartition(n, "class").sortWithinPartitions("class").mapInPandas(_judge(units, window, earlier), spans_type)
     hot = met.where(F.col("n") > HOT)
     if not hot.isEmpty():
-        each = common.staged(sides(hot.select("core")).mapInPandas(_named_windows(units, window), f"a long, c long, id {id_type}, tag int, `from` int"), "windows")
-        known = each.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
-        hit = each.join(known.where("n > 1"), ["a", "c"])
-        hit = hit.where("id > low") if earlier else hit
-        spans = spans.unionByName(hit.select("id", "tag", "from", (F.col("from") + window).alias("to")))
+        spans = spans.unionByName(_hot_spans(sides(hot.select("core")), units, window, earlier, id_type))
     spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     return docs.join(spans, _same(docs, spans), "left").select(docs["id"], docs["tag"], docs["text"], spans["spans"])
 
