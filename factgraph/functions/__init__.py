@@ -1 +1 @@
-
+"""Column expressions: no actions, no Python in the plan."""

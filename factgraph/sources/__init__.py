@@ -1 +1 @@
-
+"""Readers that turn files into the logical tables."""
