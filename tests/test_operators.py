@@ -156,15 +156,17 @@ def test_page_bounds():
 def test_late_rows_are_dropped(spark, tmp_path):
     base = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (2, "2024-01-01 05:00:00", 1.0)], "id long, t string, value double").withColumn("ts", F.to_timestamp("t"))
     late = spark.createDataFrame([(3, "2024-01-01 00:10:00", 1.0), (4, "2024-01-01 05:10:00", 1.0)], "id long, t string, value double").withColumn("ts", F.to_timestamp("t"))
-    base.coalesce(1).write.parquet(str(tmp_path / "in/a"))
-    late.coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    # rows are late by the watermark of the batch before theirs, which a batch in between moves on
+    middle = base.where("id = 2")
+    for part, df in zip("abc", (base, middle, late)):
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / part))
     import os
     import shutil
     import time
 
     folder = tmp_path / "flat"
     folder.mkdir()
-    for i, part in enumerate("ab"):
+    for i, part in enumerate("abc"):
         f = next((tmp_path / "in" / part).glob("*.parquet"))
         shutil.copy(f, folder / f"{i}.parquet")
         os.utime(folder / f"{i}.parquet", (time.time() - 100 + 10 * i,) * 2)
@@ -172,4 +174,4 @@ def test_late_rows_are_dropped(spark, tmp_path):
     out = streams.run_available(streams.rates(rows, "ts", [], "30 minutes", delay="1 hour"), "update")
     assert out.agg(F.max("batch")).first()[0] >= 1
     last = out.groupBy("start").agg(F.max("n").alias("n")).orderBy("start").collect()
-    assert [r["n"] for r in last] == [1, 2]
+    assert [r["n"] for r in last] == [1, 3]
