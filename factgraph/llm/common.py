@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python. Texts may be very long, so batches stay small.
-ROWS_PER_BATCH = 512
+#: Bytes in one Arrow batch handed to Python. Texts may be very long, so batches are bounded by size.
+BYTES_PER_BATCH = 8 << 20
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -41,7 +41,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short enough for very long texts; called by every operator that hands texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -84,6 +84,20 @@ def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str], rows: int) ->
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def gathered(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of at least ``rows``, but for the last: vectorised work pays only over many rows."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def in_chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows into consecutive chunks whose sizes add up to at most ``limit`` (a larger row is a chunk of its own)."""
     start, total = 0, 0
