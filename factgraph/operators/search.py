@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import truthrank
 from ..functions.text import keywords
-from ..functions.vectors import cosine_similarity, norm
+from ..functions.vectors import cosine_similarity
 
 #: A search's query table is broadcast up to this many rows; a larger one is matched in as many broadcast parts.
 QUERIES = 10_000
@@ -59,21 +63,48 @@ def search_phrase(queries: DataFrame, facts: DataFrame, k: int = 15) -> DataFram
     return _top(phrase_match(queries, facts).withColumn("relevance", F.col("confidence")), k)
 
 
-def _similar(queries: DataFrame, facts: DataFrame) -> DataFrame:
-    q = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("__qv"), norm(F.col("embedding")).alias("__qn"))
-    f = facts.where("embedding IS NOT NULL").withColumn("__n", norm(F.col("embedding")))
-    return _match(q, f, F.size("__qv") == F.size("embedding")).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("__qv"), F.col("__n"), F.col("__qn"))).drop("__qv", "__qn", "__n")
+def _similar(queries: DataFrame, facts: DataFrame, above: float) -> DataFrame:
+    """(query_id, id, similarity) of queries and facts with vectors of one length that are more similar than ``above``.
+
+    The bounded query table becomes one matrix per vector length, and each task multiplies its facts' vectors with it.
+    """
+    rows = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("v")).limit(QUERIES + 1).toPandas()
+    if len(rows) > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries: search them in parts")
+    sides = {int(n): (part["query_id"].to_numpy(), _unit(part["v"])) for n, part in rows.groupby(rows["v"].map(len))} if len(rows) else {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, part in b.groupby(b["v"].map(len)):
+                if n in sides:
+                    ids, unit = sides[n]
+                    scores = _unit(part["v"]) @ unit.T
+                    i, j = np.nonzero(scores > above)
+                    yield pd.DataFrame({"query_id": ids[j], "id": part["id"].to_numpy()[i], "similarity": scores[i, j]})
+
+    vectors = facts.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v"))
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {facts.schema['id'].dataType.simpleString()}, similarity double"
+    return vectors.mapInPandas(run, types)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1; a vector without length stays 0, and is similar to none."""
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def search_vector(queries: DataFrame, facts: DataFrame, min_sim: float = 0.7, k: int = 15) -> DataFrame:
     """Facts at least ``min_sim`` similar to the query's vector; vectors without length are similar to none."""
-    return _top(_similar(queries, facts).withColumn("relevance", F.round("similarity", 6)).where(F.col("similarity") >= min_sim), k)
+    near = _similar(queries, facts, min_sim - 1e-12).withColumn("relevance", F.round("similarity", 6))
+    if k is not None:
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id"))).where(F.col("rank") <= k)
+    return near.join(facts, "id").select(*HIT)
 
 
 def search_hybrid(queries: DataFrame, facts: DataFrame, vector_weight: float = 0.5, min_sim: float = 0.0, k: int = 15) -> DataFrame:
     """Phrase hits and vector hits, each fact once per query; a missing score is 0; confident facts are boosted."""
     words = phrase_match(queries, facts, FIELDS).select("query_id", "id", F.col("confidence").alias("__word"))
-    near = _similar(queries, facts).where(F.col("similarity") > min_sim).select("query_id", "id", "similarity")
+    near = _similar(queries, facts, min_sim)
     both = words.join(near, ["query_id", "id"], "full_outer")
     mixed = F.coalesce("__word", F.lit(0.0)) * (1 - vector_weight) + F.coalesce("similarity", F.lit(0.0)) * vector_weight
     hits = both.withColumn("__mixed", mixed).select("query_id", "id", "__mixed").join(facts, "id")
