@@ -229,7 +229,7 @@ def _named_windows(units: Units, window: int):
 
 
 def _hot_spans(rows: DataFrame, units: Units, window: int, earlier: bool, id_type: str) -> DataFrame:
-    """Spans of the rows of hot classes, by way of their contexts."""
+    """(id, tag, spans) of the rows of hot classes, by way of their contexts."""
     spark = rows.sparkSession
     sizes = F.encode(F.concat_ws(",", F.octet_length("left"), "most", "least"), "utf-8")
     rows = common.staged(rows.withColumn("context", F.unhex(F.md5(F.concat(sizes, "class", "left", "right")))), "hot")
@@ -250,9 +250,12 @@ def _hot_spans(rows: DataFrame, units: Units, window: int, earlier: bool, id_typ
         island = F.col("offset") - F.row_number().over(Window.partitionBy("context", "low").orderBy("offset"))
         hit = hit.withColumn("island", island).groupBy("context", "low", "island").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
         found = found.unionByName(hit.select("context", "most", "least", "low"))
+    # a context has no more runs than a window has offsets, so they travel to its rows as one list
+    found = found.groupBy("context").agg(F.collect_list(F.struct("most", "least", "low")).alias("runs"))
     own = rows.select("context", "id", "tag", "begin").join(found, "context")
-    own = own.where("id > low") if earlier else own
-    return own.select("id", "tag", (F.col("begin") - F.col("most")).alias("from"), (F.col("begin") - F.col("least") + window).alias("to"))
+    mine = F.filter("runs", lambda r: F.col("id") > r["low"]) if earlier else F.col("runs")
+    spans = F.transform(mine, lambda r: F.struct((F.col("begin") - r["most"]).cast("int").alias("from"), (F.col("begin") - r["least"] + window).cast("int").alias("to")))
+    return own.select("id", "tag", spans.alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, units: Units, window: int, earlier: bool) -> DataFrame:
@@ -278,10 +281,11 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, earlier: bool) ->
     few = sides(met.where(F.col("n") <= HOT).select("core"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = few.repartition(n, "class").sortWithinPartitions("class").mapInPandas(_judge(units, window, earlier), spans_type)
+    spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     hot = met.where(F.col("n") > HOT)
     if not hot.isEmpty():
         spans = spans.unionByName(_hot_spans(sides(hot.select("core")), units, window, earlier, id_type))
-    spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+        spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return docs.join(spans, _same(docs, spans), "left").select(docs["id"], docs["tag"], docs["text"], spans["spans"])
 
 
