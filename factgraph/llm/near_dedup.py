@@ -10,6 +10,8 @@ weighted Jaccard similarity.
 
 Signatures are cut into bands of rows; documents that share a band meet, copies apart, at one of them (a pivot), and
 each such pair is verified by its exact similarity. Verified pairs link documents; classes are connected components.
+Two rounds of pivots link most of what is similar at a cost in proportion to the buckets. Pairs of a bucket that are
+neither compared nor in one class by then are all compared, block by block.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BANDS, ROWS = 26, 5
 CHUNK = 1 << 17
 #: Members of a pivot that are compared in one group.
 GROUP = 500
+#: Texts and bytes of text that are held at a time where all pairs of a bucket are compared, and texts that pass by them in one group.
+BLOCK, BLOCK_BYTES, PASSING = 256, 4 << 20, 4096
 #: Darts of ranks below 2**FLOOR are one band.
 FLOOR = -8
 
@@ -175,6 +179,88 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.mapInPandas(_verify(threshold), "a binary, b binary")
 
 
+class _Held:
+    """A block of texts as sets of cells, and what tells whether a pair of theirs is to be compared here."""
+
+    def __init__(self) -> None:
+        self.cells, self.digests, self.roots, self.bands = [], [], [], []
+        self.names = None
+
+    def add(self, cell: np.ndarray, digest: bytes, root: bytes, bands: np.ndarray) -> None:
+        for to, x in zip((self.cells, self.digests, self.roots, self.bands), (cell, digest, root, bands)):
+            to.append(x)
+
+    def similar(self, band: int, common_root: bool, cell: np.ndarray, digest: bytes, root: bytes, bands: np.ndarray, threshold: float) -> list[bytes]:
+        """Held texts similar to the given one; of two texts that are both held somewhere the lesser digest asks, in the first band that they share."""
+        if self.names is None:
+            self.names, self.at = np.unique(np.concatenate(self.cells), return_inverse=True)
+            self.size = np.array([len(c) for c in self.cells])
+            self.start = np.cumsum(self.size) - self.size
+            self.band_table = np.stack(self.bands)
+        wanted = ~(self.band_table[:, :band] == bands[:band]).any(axis=1)
+        wanted &= np.minimum(self.size, len(cell)) >= threshold * np.maximum(self.size, len(cell)) - 1e-6  # more than that no pair can share
+        wanted &= np.fromiter((r != root and (common_root or d < digest) for r, d in zip(self.roots, self.digests)), bool, len(self.roots))
+        if not wanted.any():
+            return []
+        mark = np.zeros(len(self.names), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.names, cell), len(self.names) - 1)
+        mark[at[self.names[at] == cell]] = 1
+        shared = np.add.reduceat(mark[self.at], self.start)
+        return [self.digests[i] for i in np.flatnonzero(wanted & (shared / (self.size + len(cell) - shared) >= threshold))]
+
+
+def _compare(threshold: float):
+    """Pairs of held and passing texts that are similar enough; rows come sorted by group, each group's held texts first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, _Held()
+        for b in batches:
+            out = []
+            for i, j in common.in_chunks(np.array([len(t) // 5 for t in b["text"]]), CHUNK):
+                part = b.iloc[i:j]
+                cell, owner = cells(*shingles([_bytes(t) for t in part["text"]]))
+                cut = np.searchsorted(owner, np.arange(len(part) + 1))
+                for r, (band, name, block, salt, passing, common_root, digest, root, bands) in enumerate(zip(*(part[c] for c in ("band", "name", "block", "salt", "passing", "common", "digest", "root", "bands")))):
+                    if at != (band, name, block, salt):
+                        at, held = (band, name, block, salt), _Held()
+                    own = cell[cut[r] : cut[r + 1]]
+                    if not passing:
+                        held.add(own, digest, root, bands)
+                    elif held.cells:
+                        out += [(digest, other) for other in held.similar(band, common_root, own, digest, root, bands, threshold)]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _all_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs among ``members`` (band, name, digest, root) that share a bucket and differ in root, none left out.
+
+    All texts of a bucket but those of its commonest root are held, in blocks; every text of the bucket passes by each
+    block. So a few strays in a bucket of a large class cost a pass of the class, and only texts that are truly
+    apart cost the square of their number, in rows divided by BLOCK.
+    """
+    spark = members.sparkSession
+    bucket = ["band", "name"]
+    sized = common.staged(members.join(texts.select("digest", F.octet_length("text").alias("bytes")), "digest"), "open")
+    by_root = sized.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    all_of = by_root.groupBy(*bucket).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("most")).where("n > most.n")
+    plan = all_of.select(
+        *bucket, F.col("most.root").alias("most"), F.expr(f"cast(ceil(n / {PASSING}) as int)").alias("salts"),
+        F.expr(f"cast(greatest(ceil((n - most.n) / {BLOCK}), ceil((bytes - most.bytes) / {BLOCK_BYTES})) as int)").alias("blocks"))
+    placed = common.staged(sized.join(plan, bucket).select(
+        *bucket, "digest", "root", (F.col("root") == F.col("most")).alias("common"), "blocks", "salts",
+        F.expr("cast(pmod(xxhash64(digest, 1), blocks) as int)").alias("block"), F.expr("cast(pmod(xxhash64(digest, 2), salts) as int)").alias("salt")), "placed")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ["common", "digest", "root"]
+    held = placed.where("not common").select(*bucket, "block", each("salts").alias("salt"), F.lit(False).alias("passing"), *rest)
+    passing = placed.select(*bucket, each("blocks").alias("block"), "salt", F.lit(True).alias("passing"), *rest)
+    group = [*bucket, "block", "salt"]
+    rows = held.unionByName(passing).join(texts.join(nodes.select("digest", "bands"), "digest"), "digest").select(*group, "passing", *rest, "bands", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *group).sortWithinPartitions(*group, "passing").mapInPandas(_compare(threshold), "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, class_id, class_size, kept, digest).
 
@@ -182,7 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     linked, as are equal texts; classes are what links connect. ``class_id`` is the class's least id; the row with
     that id stays. Equal texts are one node, so that a large group of copies costs what one text does. Within a band's
     bucket texts meet at the bucket's pivot; buckets whose texts end up in different classes get other pivots, band by
-    band, in a second round, and only there could a link be lost that no bucket of 26 has shown.
+    band, in a second round. What a bucket then still holds of different classes is compared pair by pair. A link is
+    lost only where a pair shares no bucket of 26 and no chain of links joins its ends.
 
     Nulls: a null id is a row of its own unless its text equals another's; it is kept where its class has no id at
     all. Null, empty and blank texts have no shingles and are linked to equal texts only (null counts as empty).
@@ -209,11 +296,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     # texts that met in a bucket and are in different classes yet: they meet again, at a pivot that differs by band
     of = met.join(label, met["digest"] == label["node"], "left").select("band", "name", "digest", F.coalesce("root", "digest").alias("root"))
-    mixed = of.groupBy("band", "name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("digest", "root"), F.xxhash64("digest", "band")).alias("p")).where("low <> high")
+    mixed = common.staged(of.groupBy("band", "name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("digest", "root"), F.xxhash64("digest", "band")).alias("p")).where("low <> high"), "mixed")
     second = of.join(mixed, ["band", "name"]).where(F.col("root") != F.col("p.root")).select(F.col("p.digest").alias("pivot"), "digest").distinct()
     second = common.staged(second.join(pairs, ["pivot", "digest"], "left_anti").join(pairs.select(F.col("digest").alias("pivot"), F.col("pivot").alias("digest")), ["pivot", "digest"], "left_anti"), "candidates")
     if not second.isEmpty():
         more = common.staged(_verified(second, texts, threshold), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = common.staged(connected(links), "classes")
+
+    # pairs that are open yet: both pivots of a bucket have met all of it that was in other classes
+    others = met.join(mixed.select("band", "name", F.col("p.digest").alias("p")), ["band", "name"]).where("digest <> pivot and digest <> p")
+    left = common.staged(others.join(label, others["digest"] == label["node"], "left").select("band", "name", "digest", F.coalesce("root", "digest").alias("root")), "left")
+    apart = left.groupBy("band", "name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "name")
+    members = common.staged(left.join(apart, ["band", "name"], "left_semi"), "members")
+    if not members.isEmpty():
+        more = common.staged(_all_pairs(members, nodes, texts, threshold), "links")
         if not more.isEmpty():
             label = common.staged(connected(links.unionByName(more)), "classes")
 

@@ -159,6 +159,20 @@ def test_near_duplicates(spark):
     assert all(got[i]["kept"] == (got[i]["class_id"] == i) for i, _ in rows)
 
 
+def test_near_pairs_in_mixed_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(near_dedup, "PASSING", 50, raising=False)
+    template, own = [f"t{i}" for i in range(150)], lambda i: [f"o{i}x{k}" for k in range(20)]
+    texts = [own(i) for i in range(160)]
+    for i in range(0, 40, 2):
+        texts[i + 1][:2] = texts[i][:2]  # a similarity of 0.804 with this text, 0.785 with the rest
+    rows = [(i, " ".join(template + t)) for i, t in enumerate(texts)]
+    root = brute_classes(rows)
+    assert len(set(root)) == 140
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_dart_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     a, b = Counter(rng.integers(0, 300, 400).tolist()), Counter(rng.integers(0, 300, 400).tolist())
