@@ -108,17 +108,23 @@ def fact_history(ids: DataFrame, facts: DataFrame, articles: DataFrame, edges: D
     return own.join(after, "id", "left").join(before, "id", "left").join(titles, "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
-def evolve(ids: DataFrame, edges: DataFrame, max_depth: int = 10, edge_types: tuple[str, ...] = ("EVOLVES_TO",), limit: int | None = None) -> DataFrame:
-    """(start_id, id, distance, path): outgoing paths from each fact without repeated nodes, up to ``max_depth`` steps.
+def evolve(ids: DataFrame, edges: DataFrame, max_depth: int | None = None, edge_types: tuple[str, ...] = ("EVOLVES_TO",), limit: int | None = None) -> DataFrame:
+    """(start_id, id, distance, path): outgoing paths from each fact without repeated nodes, of any length or up to ``max_depth`` steps.
 
     A join per step over the edges of the given types; it ends as soon as a step finds nothing.
     """
+    from .similarity import staged
+
     step = edges.where(F.col("type").isin(*edge_types)).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    step = staged(step, "steps")
     front = ids.select(F.col("id").alias("start_id"), F.col("id"), F.lit(0).alias("distance"), F.array("id").alias("path")).distinct()
-    out = None
-    for _ in range(max_depth):
-        front = front.join(step, front["id"] == step["at"]).where(~F.array_contains("path", F.col("to"))).select("start_id", F.col("to").alias("id"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("to")).alias("path"))
+    out, depth = None, 0
+    while max_depth is None or depth < max_depth:
+        found = front.join(step, front["id"] == step["at"]).where(~F.array_contains("path", F.col("to"))).select("start_id", F.col("to").alias("id"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("to")).alias("path"))
+        front, depth = staged(found, "front"), depth + 1
         out = front if out is None else out.unionByName(front)
+        if front.isEmpty():
+            break
     if limit is None:
         return out
     w = Window.partitionBy("start_id").orderBy("distance", "id", "path")

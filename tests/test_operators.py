@@ -175,3 +175,10 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert out.agg(F.max("batch")).first()[0] >= 1
     last = out.groupBy("start").agg(F.max("n").alias("n")).orderBy("start").collect()
     assert [r["n"] for r in last] == [1, 3]
+
+
+def test_evolution_of_any_length(spark):
+    edges = spark.createDataFrame([(i, i + 1, "EVOLVES_TO") for i in range(14)] + [(14, 3, "EVOLVES_TO")], "src long, dst long, type string")
+    got = {r["id"]: r["distance"] for r in graph.evolve(spark.createDataFrame([(0,)], "id long"), edges).collect()}
+    assert got == {i: i for i in range(1, 15)}
+    assert graph.evolve(spark.createDataFrame([(0,)], "id long"), edges, max_depth=4).count() == 4
