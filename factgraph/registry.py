@@ -253,9 +253,10 @@ def insert_ignore(s, d):
 
 @query("""SELECT url, id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN title ELSE 'new ' || title END AS title, CASE WHEN id % 2 = 0 THEN left(raw_text, 40) ELSE 'other' END AS raw_text FROM articles_fx""")
 def upsert_articles(s, d):
-    a = fx.articles(s, d).select("url", "id", "title", F.left("raw_text", F.lit(40)).alias("raw_text"))
+    a = fx.articles(s, d).select("url", "id", "title", "raw_text")
     new = a.where("id % 2 = 1 OR id % 4 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "raw_text": F.lit("other")})
-    return tables.upsert_articles(a.where("id % 2 = 0"), new)
+    # whole texts are merged; only what the SQL compares is cut
+    return tables.upsert_articles(a.where("id % 2 = 0"), new).withColumn("raw_text", F.left("raw_text", F.lit(40)))
 
 
 @query("""SELECT src AS fact1_id, dst AS fact2_id, CASE WHEN src % 20 = 0 THEN 0.99::DOUBLE ELSE weight END AS contradiction_score, TIMESTAMP '2024-01-01' AS detected_at FROM edges_fx WHERE type = 'CONTRADICTS'""")

@@ -182,3 +182,15 @@ def test_evolution_of_any_length(spark):
     got = {r["id"]: r["distance"] for r in graph.evolve(spark.createDataFrame([(0,)], "id long"), edges).collect()}
     assert got == {i: i for i in range(1, 15)}
     assert graph.evolve(spark.createDataFrame([(0,)], "id long"), edges, max_depth=4).count() == 4
+
+
+def test_upsert_query_merges_whole_texts(spark, monkeypatch):
+    from factgraph import fixtures, registry
+
+    sf, seen = "/root/testdata/sf0.001", []
+    merge = tables.upsert_articles
+    monkeypatch.setattr(tables, "upsert_articles", lambda old, new: seen.append(merge(old, new)) or seen[0])
+    registry.upsert_articles(spark, sf)
+    want = {r["id"]: r["raw_text"] if r["id"] % 2 == 0 else "other" for r in fixtures.articles(spark, sf).select("id", "raw_text").collect()}
+    assert max(len(t or "") for t in want.values()) > 40
+    assert {r["id"]: r["raw_text"] for r in seen[0].collect()} == want
