@@ -53,14 +53,51 @@ def page_key(url: Column) -> Column:
     return F.concat(host(url), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest)))
 
 
+def _unescaped(value: Column) -> Column:
+    return F.regexp_replace(value, r"(?i)&(?:amp|#38|#x26);", "&")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty without it."""
+    form = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+    return F.trim(_unescaped(F.concat(*[F.regexp_extract(tag, form, g) for g in (1, 2, 3)])))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with / without its segments . and .. ."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """A link's absolute url, given the absolute url that it is relative to; null for a scheme without ://."""
+    scheme, authority = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), authority)
+    own = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
+    way, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)[?#].*$", 0)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, _without_dots(way), rest))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, own, rest))
+        .when((target == "") | F.startswith(target, F.lit("#")), F.concat(F.regexp_extract(base, r"(?s)^[^#]*", 0), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.regexp_extract(own, r"(?s)^.*/", 0), way)), rest)))
+
+
 def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target): canonical links and meta refreshes that pages state about themselves; only absolute targets count."""
+    """(url, target): canonical links and meta refreshes that pages state about themselves, resolved against the page's base or url."""
     html = F.col(f"`{html_col}`")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
-    rows = pages.select(F.col(f"`{url_col}`").alias("url"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return rows.select("url", F.coalesce(canonical, refresh).alias("target")).where(F.col("target").contains("://"))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), 0)
+    found = pages.select(F.col(f"`{url_col}`").alias("url"), tags.alias("tags")).where(F.size("tags") > 0)
+    first = F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b.*[\s\"'/]href\s*=")), F.lit(0))
+    own = F.col("url")
+    rows = found.select("url", F.coalesce(resolve(_attribute(first, "href"), own), own).alias("base"), F.explode("tags").alias("tag"))
+    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b") & _attribute(F.col("tag"), "rel").rlike(r"(?is)(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
+    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), _unescaped(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)))
+    return rows.select("url", "base", F.coalesce(canonical, refresh).alias("link")).where("link <> ''").select("url", resolve(F.col("link"), F.col("base")).alias("target")).where(F.col("target").contains("://"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:

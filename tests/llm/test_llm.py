@@ -315,6 +315,18 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(df.limit(0), rules, moved).count() == 0 and url_filter.judge(df, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_url_links_of_every_form(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/a/b/c?x=1#f", "https://h.org/", "http://h.org/d/"]
+    targets = ["/en/page", "//other.net/p", "/new?a=1&b=2", "x/y", "../up", "../../../up", "./", "..", "?q=2", "http://z.net/w", "go?u=http://z.net/"]
+    form = {"link": '<link data-href="no" href="{}" rel=\'shortlink canonical\'>', "meta": '<meta http-equiv="refresh" content="0; url={}">'}
+    cases = [(b, t, f) for b in bases for t in targets for f in form]
+    pages = [(b, form[f].format(t.replace("&", "&amp;"))) for b, t, f in cases] + [("http://h.org/q", '<base target="x"><base href="/in/"><link rel=canonical href=p>'), ("http://h.org/q", '<link rel="canonical" href="mailto:a">')]
+    got = sorted(tuple(r) for r in url_filter.links_of(spark.createDataFrame(pages, "url string, html string")).collect())
+    assert got == sorted([(b, urljoin(b, t)) for b, t, _ in cases] + [("http://h.org/q", "http://h.org/in/p")])
+
+
 # ---------------------------------------------------------------- 6 and 10
 
 
