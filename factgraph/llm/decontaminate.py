@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
+#: Items of up to this many shingles are candidates wherever they share one.
+SHORT = 2
 #: Size classes of documents: up to 2**31 shingles.
 CLASSES = 31
 #: Benchmark shingles are broadcast only up to this number of rows (about 100 MB); beyond it the join shuffles.
@@ -78,7 +80,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     # rows of one shingle collapse first, so no document's or item's matches meet in one place as a list
     once = met.groupBy("doc_id", "item_id", "size", "h").agg(F.max("agrees").alias("agrees"))
     found = once.groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("n_shared"), F.max("agrees").alias("candidate"))
-    return found.where(F.col("candidate") & (F.col("n_shared") >= F.lit(threshold) * F.col("size"))).select(
+    # a short item may be hidden in all its buckets, so it needs no signature to agree
+    return found.where((F.col("candidate") | (F.col("size") <= SHORT)) & (F.col("n_shared") >= F.lit(threshold) * F.col("size"))).select(
         "doc_id", "item_id", "n_shared", F.col("size").cast("long").alias("n_shingles"), (F.col("n_shared") / F.col("size")).alias("containment"))
 
 

@@ -457,6 +457,13 @@ def test_containment(spark):
     assert {(r["doc_id"], r["item_id"], r["n_shared"]) for r in got.collect()} == want and len(want) > 10
 
 
+def test_short_items_in_a_long_text(spark):
+    words = [f"v{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], TEXT)
+    items = spark.createDataFrame([(i, " ".join(words[i : i + 5])) for i in range(2996)], "item_id long, text string")
+    assert decontaminate.contaminated(docs, items).count() == 2996
+
+
 def test_decontamination_odd_cases(spark):
     items = spark.createDataFrame([(1, "cat sat on the mat and"), (2, None), (None, "no id at all here in this row")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd(spark), items).collect()}
