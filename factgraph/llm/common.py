@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes in one Arrow batch handed to Python. Texts may be very long, so batches are bounded by size.
 BYTES_PER_BATCH = 8 << 20
+#: Bytes of input (as stored) for each part that rows with texts are dealt into, and from where on a plan's size stands for "not known".
+BYTES_PER_TASK, UNKNOWN = 64 << 20, 1 << 60
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -44,6 +46,14 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
+def partitions(df: DataFrame) -> int:
+    """Into how many parts to deal rows that carry ``df``'s texts: the session's number, or one for each BYTES_PER_TASK of the tables that ``df`` reads, if that is more."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    stored = sum(n for n in sizes if n < UNKNOWN)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // BYTES_PER_TASK))
+
+
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for ``df``, given only once a count shows that it has at most ``max_rows`` rows.
 

@@ -12,12 +12,15 @@ protocol guards them against lost executors. A block holds consecutive documents
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +28,18 @@ from . import common
 
 #: Tokens in a block, apart from a longer document, which is a block of its own.
 BLOCK_TOKENS = 1 << 20
-#: Words whose ids a worker remembers before it starts anew; only speed depends on it.
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers before those not met again go; only speed depends on it.
+REMEMBERED = 600_000
+#: A control character: between spaces it is a piece of its own, whose id no piece without it has.
+PARTING = "\x01"
 #: For each control byte, the lengths of its four codes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 BLOCKS = "shard int, block int, n_docs int, n_tokens long, doc_ids binary, lengths binary, ranks binary, control binary, data binary"
+ROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "lengths", "ranks", "control", "data")]])
 
 
 class Encoder:
-    """The library's ids of a text. The file drops white space, and no merge crosses it, so pieces between spaces, tabs and newlines are encoded once and remembered."""
+    """The library's ids of texts. The file drops white space, and no merge crosses it, so pieces between spaces, tabs and newlines are encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -43,35 +49,86 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
-        # a token whose neighbours' white space stays theirs
-        marks = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark_id, self.mark = min(marks, default=(-1, ""))
-
-    def ids(self, texts: list[str], end: int | None) -> list[np.ndarray]:
-        known, pieces = self.known, [t.replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for doc in pieces for p in doc if p not in known})
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        tail = b"" if end is None else end.to_bytes(4, "little")
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, doc)) + tail, dtype="<u4") for doc in pieces]
-
+        self.old: dict[str, bytes] = {}
+        alone = self.library.encode(PARTING, add_special_tokens=False).ids
+        self.parting = alone[0] if len(alone) == 1 else None
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each); null counts as empty.
+
+        Arrow splits the texts and gives every distinct piece of the batch a code, so Python sees a piece once a batch;
+        ids are then gathered by code.
+        """
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        plain = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+        parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, "\t", " "), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        table = self.lookup(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        offset = parts.offsets.to_numpy()
+        each = size[code]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        n = upto[offset[1:] - offset[0]] - upto[offset[:-1] - offset[0]]
+        at = np.repeat(start[code] - upto[:-1], each) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(table), dtype="<u4")[at]
+        if end is None:
+            return ids, n
+        out = np.full(len(ids) + len(n), end, dtype=np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+        return out, n + 1
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        known.update((p, old[p]) for p in pieces if p not in known and p in old)
+        parted = {p: _parted(p) for p in pieces if p not in known}
+        words = list({parts[0] for parts in parted.values() if parts and parts[0] not in known})
+        other = list({x for p, parts in parted.items() for x in (parts[1:] if parts else (p,)) if x not in known})
+        for at in range(0, len(words), 20_000):
+            self.learn_words(words[at : at + 20_000])
+        for at in range(0, len(other), 20_000):
+            self.learn(other[at : at + 20_000])
+        for p, parts in parted.items():
+            if parts:
+                known[p] = known[parts[0]] + known[parts[1]]
+        return [known[p] for p in pieces]
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode words of letters in one call: each gives at least one piece, so where as many pieces end as there are words, each word is one."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) == len(words) and end[-1] == len(ids):
+            self.remember(words, ids, np.concatenate(([0], end[:-1])), end)
+        else:
+            self.learn(words)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode many pieces in one call: a special token, which the library cuts out of a text first, stands between them."""
-        odd = [p for p in pieces if self.mark in p] if self.mark else pieces
-        if odd:
-            for piece, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-            pieces = [p for p in pieces if p not in self.known]
+        """Encode many pieces in one call, with a piece between them that has one id and is found in no other way."""
+        odd = [p for p in pieces if PARTING in p] if self.parting is not None else pieces
+        for piece, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else []):
+            self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        pieces = [p for p in pieces if p not in self.known]
         if pieces:
-            ids = np.array(self.library.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = 4 * np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            for piece, i, j in zip(pieces, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]):
-                self.known[piece] = raw[i:j]
+            ids = np.array(self.library.encode_batch_fast([f" {PARTING} ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(ids == self.parting)
+            self.remember(pieces, ids, np.concatenate(([0], cut + 1)), np.append(cut, len(ids)))
+
+    def remember(self, pieces: list[str], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.known.update((p, raw[i:j]) for p, i, j in zip(pieces, (4 * begin).tolist(), (4 * end).tolist()))
+
+
+def _parted(piece: str) -> tuple[str, str] | None:
+    """A piece of letters up to U+00FF and then only ASCII marks, as (letters in lower case, marks): the file cuts it there and lower-cases it itself. None for others."""
+    word = piece.rstrip(string.punctuation)
+    return (word.lower(), piece[len(word) :]) if word.isalpha() and max(word) <= "\xff" else None
 
 
 @lru_cache(maxsize=2)
@@ -120,38 +177,38 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id
     spark = docs.sparkSession
     common.short_batches(spark)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("shard", F.spark_partition_id())
+    ranged = slim.repartitionByRange(common.partitions(docs), "id").sortWithinPartitions("id").withColumn("shard", F.spark_partition_id())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = load(tokenizer), 0
         held: list[np.ndarray] = []
         keys: list[int | None] = []
         total, shard = 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
             ranks, control, data = pack(ids)
             null = [k is None for k in keys]
             doc_ids = np.array([k or 0 for k in keys], dtype="<i8").tobytes() + np.packbits(null).tobytes() * any(null)
-            return pd.DataFrame([[shard, block, len(keys), len(ids), doc_ids, np.array([len(x) for x in held], dtype="<i8").tobytes(), ranks, control, data]], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            row = {"shard": shard, "block": block, "n_docs": len(keys), "n_tokens": len(ids), "doc_ids": doc_ids, "lengths": np.array([len(x) for x in held], dtype="<i8").tobytes(), "ranks": ranks, "control": control, "data": data}
+            return pa.RecordBatch.from_pylist([row], ROW)
 
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            shard = int(b["shard"].iloc[0])
-            own = [None if pd.isna(k) else int(k) for k in b["id"]]
-            for key, ids in zip(own, encoder.ids([t or "" for t in b["text"]], end_id)):
-                if held and total + len(ids) > BLOCK_TOKENS:
+            shard = b.column("shard")[0].as_py()
+            ids, sizes = encoder.ids(b.column("text"), end_id)
+            for key, own in zip(b.column("id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
+                if held and total + len(own) > BLOCK_TOKENS:
                     yield flush()
                     held, keys, total, block = [], [], 0, block + 1
-                held.append(ids)
+                held.append(own)
                 keys.append(key)
-                total += len(ids)
+                total += len(own)
         if held:
             yield flush()
 
-    ranged.mapInPandas(run, BLOCKS).write.parquet(path)
+    ranged.mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
