@@ -102,4 +102,14 @@ def expand_terms(query: Column, variations: Column) -> Column:
 
 
 def encoded_path(c: Column) -> Column:
-    return F.url_encode(c)
+    """Percent-encoded UTF-8 of all but letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.url_encode(c)
+    for form, char in (("+", "%20"), ("%7E", "~"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(form), F.lit(char))
+    return out
+
+
+def hit_defaults(id_: Column, confidence: Column, controversy: Column) -> list[Column]:
+    """A hit's id as text, confidence and controversy; where they are null "unknown", 0.5 and 0."""
+    return [F.coalesce(id_.cast("string"), F.lit("unknown")).alias("id"), F.coalesce(confidence.cast("double"), F.lit(0.5)).alias("confidence"), F.coalesce(controversy.cast("double"), F.lit(0.0)).alias("controversy")]
+

@@ -113,7 +113,7 @@ def evolve(ids: DataFrame, edges: DataFrame, max_depth: int | None = None, edge_
 
     A join per step over the edges of the given types; it ends as soon as a step finds nothing.
     """
-    from .similarity import staged
+    from ..staging import staged
 
     step = edges.where(F.col("type").isin(*edge_types)).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     step = staged(step, "steps")

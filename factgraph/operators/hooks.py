@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..functions.scores import heuristic_stance
 from ..functions.text import fact_statement, sentences, smart_cut, stripped
 from ..functions.vectors import cosine_similarity, norm
 
+#: Topic prototypes that are broadcast at a time.
+PROTOTYPES = 1000
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -28,7 +31,7 @@ def apply_model(df: DataFrame, model: Batch, schema: str) -> DataFrame:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Hashed word counts of unit length; null for a text without words."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+    slots = F.transform(words, lambda w: F.pmod(F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("long"), F.lit(dim)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
     length = norm(counts)
     return F.when(F.size(words) > 0, F.transform(counts, lambda x: (x / length).cast("float")))
@@ -42,10 +45,19 @@ def embed(df: DataFrame, text_col: str = "text", model: Batch | None = None, dim
 
 
 def classify_topics(articles: DataFrame, prototypes: DataFrame, least: float = 0.4) -> DataFrame:
-    """(article_id, topic_id, confidence): the topic whose prototype (topic_id, embedding) is nearest, if similar enough. Prototypes are few."""
-    pairs = articles.where("embedding IS NOT NULL").crossJoin(F.broadcast(prototypes.select("topic_id", F.col("embedding").alias("p")).limit(1000)))
-    scored = pairs.select(F.col("id").alias("article_id"), "topic_id", cosine_similarity(F.col("embedding"), F.col("p")).alias("score"))
-    best = scored.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("topic_id")).alias("o"), "topic_id")).alias("b"))
+    """(article_id, topic_id, confidence): the topic whose prototype (topic_id, embedding) is nearest, if similar enough; of equals the least id.
+
+    Prototypes are broadcast in parts of about PROTOTYPES, each scored in a pass of its own, so none is left out.
+    """
+    parts = -(-prototypes.count() // PROTOTYPES) or 1
+    dealt = prototypes.select("topic_id", F.col("embedding").alias("p"), F.pmod(F.xxhash64("topic_id"), F.lit(parts)).alias("part"))
+    own = articles.where("embedding IS NOT NULL").select(F.col("id").alias("article_id"), "embedding")
+    rows = None
+    for k in range(parts):
+        pairs = own.crossJoin(F.broadcast(dealt.where(F.col("part") == k).select("topic_id", "p")))
+        scored = pairs.select("article_id", F.struct(cosine_similarity(F.col("embedding"), F.col("p")).alias("score"), (-F.col("topic_id")).alias("o"), "topic_id").alias("b"))
+        rows = scored if rows is None else rows.unionByName(scored)
+    best = rows.groupBy("article_id").agg(F.max("b").alias("b"))
     return best.where(F.col("b.score") > least).select("article_id", "b.topic_id", F.col("b.score").alias("confidence"))
 
 
@@ -88,15 +100,28 @@ def stance(df: DataFrame, snippet_col: str = "snippet", model: Batch | None = No
     return df.withColumn("stance", heuristic_stance(F.col(snippet_col)))
 
 
+#: Runs of capitalised words; other words are matched too, so that no run starts inside of one.
+ENTITY, WORD = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*", r"[\p{L}\p{N}_]+"
+
+
 def extract_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(id, text, type, start): runs of capitalised words, with the place of the first of each."""
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(r"\b\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*"), 0)
-    e = df.select("id", F.col(text_col).alias("all"), F.posexplode(runs).alias("position", "text"))
-    return e.select("id", "text", F.lit("ORG").alias("type"), "position", F.expr("locate(text, `all`) - 1").alias("start"))
+    """(id, text, type, position, start): runs of capitalised words, with the place of each in the text; a text's own column is read, one pass a row."""
+    find, entity = regex.compile(f"{ENTITY}|{WORD}"), regex.compile(ENTITY)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for id_, text in zip(b["id"], b["text"]):
+                runs = [m for m in find.finditer(text or "") if entity.fullmatch(m.group())]
+                rows += [(id_, m.group(), "ORG", i, m.start()) for i, m in enumerate(runs)]
+            yield pd.DataFrame(rows, columns=["id", "text", "type", "position", "start"])
+
+    id_type = df.schema["id"].dataType.simpleString()
+    return df.select("id", F.col(text_col).alias("text")).mapInPandas(run, f"id {id_type}, text string, type string, position int, start int")
 
 
 def unique_entities(entities: DataFrame) -> DataFrame:
-    """Of the entities of one text and type, whatever their case, the first."""
+    """Of the entities (id, text, type, position, start) of one text and type, whatever their case, the first."""
     w = Window.partitionBy("id", F.lower("text"), "type").orderBy("start", "position")
     return entities.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "position")
 

@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
+from ..staging import staged
 
 #: Vectors in one block. A task multiplies two blocks at a time.
 BLOCK = 2048
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder that the cluster shares (``spark.checkpoint.dir``; a local one only where unset) and read back."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        where = "file://" + _OWN_DIR.setdefault(app, _OWN_DIR.get(app) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    path = f"{where.rstrip('/')}/factgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def classes(facts: DataFrame) -> DataFrame:
     """(id, rep): facts with equal vectors share the least id among them as representative. Null and zero vectors are left out."""
     v = facts.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v")).where(norm(F.col("v")) > 0).withColumn("key", F.xxhash64("v"))
@@ -134,13 +118,29 @@ def band_candidates(facts: DataFrame, new: DataFrame, low: float = 0.05, high: f
     return own.join(of_rep, own["rep"] == of_rep["a"]).select("id", "neighbor_id", "distance", "rank")
 
 
-def dedup_facts(facts: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """(id, kept): facts in order of (created_at, id); one is kept unless a fact kept before it is closer than the threshold.
+def near_existing(facts: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
+    """(id) of the facts (id, embedding) that lie closer than the threshold to any of ``existing`` (id, embedding)."""
+    v = F.col("embedding").cast("array<double>").alias("embedding")
+    both = facts.select((F.col("id") * 2).alias("id"), v).unionByName(existing.select((F.col("id") * 2 + 1).alias("id"), v))
+    member = staged(classes(both), "members")
+    stored = member.where("id % 2 <> 0").select("rep").distinct()
+    pairs = staged(rep_pairs(both, member.select("rep").distinct(), 0.0, threshold).select("a", "b"), "pairs")
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    close = ways.join(stored, ways["b"] == stored["rep"], "left_semi").select(F.col("a").alias("rep")).unionByName(stored).distinct()
+    return member.where("id % 2 = 0").join(close, "rep", "left_semi").select((F.col("id") / 2).cast("long").alias("id")).distinct()
+
+
+def dedup_facts(facts: DataFrame, threshold: float = 0.05, existing: DataFrame | None = None) -> DataFrame:
+    """(id, kept): facts in order of (created_at, id); one is kept unless a fact kept before it, or one of ``existing`` (id, embedding), is closer than the threshold.
 
     Copies of a vector: only the first of them in order can be kept. Among these firsts, rounds over the pairs settle
     what is certain: a fact whose earlier neighbours are all dropped is kept, one with a kept earlier neighbour is
     dropped. Null vectors are kept. Every round settles at least the first open fact of each chain.
     """
+    if existing is not None:
+        near = near_existing(facts, existing, threshold)
+        rest = dedup_facts(facts.join(near, "id", "left_anti"), threshold)
+        return rest.unionByName(near.withColumn("kept", F.lit(False)))
     base = facts.select("id", "created_at", F.col("embedding").cast("array<double>").alias("embedding"))
     member = staged(classes(base), "members")
     order = F.struct("created_at", "id")

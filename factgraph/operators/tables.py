@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _null_key(keys: list[str]) -> Column:
+    return reduce(or_, [F.col(k).isNull() for k in keys])
+
+
 def _first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Of rows with one key the first by ``order``; a null key conflicts with nothing, so all its rows stay."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    whole = df.where(~_null_key(keys)).withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return whole.unionByName(df.where(_null_key(keys)))
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """``target`` and those incoming rows whose key is new; of incoming rows with one key the first by ``order``."""
-    return target.unionByName(_first(incoming, keys, order).join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    """``target`` and those incoming rows whose key is new; of incoming rows with one key the first by ``order``, of those with a null key all."""
+    return target.unionByName(new_rows(target, incoming, keys, order), allowMissingColumns=True)
+
+
+def new_rows(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows that ``insert_ignore`` adds."""
+    return _first(incoming, keys, order).join(target.select(*keys), keys, "left_anti")
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], replace: list[str], keep: list[str], order: list[Column]) -> DataFrame:
-    """Rows of either side by key: ``replace`` columns prefer the incoming value, ``keep`` columns the old one."""
+    """Rows of either side by key: ``replace`` columns prefer the incoming value, ``keep`` columns the old one. Rows with a null key meet no other and all stay."""
     new = _first(incoming, keys, order)
     cols = [c for c in target.columns if c not in keys]
     t, n = target.alias("t"), new.alias("n")
@@ -27,6 +41,26 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], replace: lis
     return joined.select(*[F.coalesce(f"t.{k}", f"n.{k}").alias(k) for k in keys], *[(pick(c) if c in has and c in replace + keep else F.col(f"t.{c}")).alias(c) for c in cols])
 
 
+def insert_counters(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column], by: str) -> DataFrame:
+    """(by, found, inserted, skipped): per feed the incoming rows, those that an insert adds and those that it ignores."""
+    found = incoming.groupBy(by).agg(F.count(F.lit(1)).alias("found"))
+    added = new_rows(target, incoming, keys, order).groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0)).alias("inserted")
+    return found.join(added, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "found", n, (F.col("found") - F.coalesce("n", F.lit(0))).alias("skipped"))
+
+
+def dedup_counters(judged: DataFrame) -> DataFrame:
+    """(new, duplicate): facts that a deduplication (id, kept) keeps and drops."""
+    return judged.agg(F.count_if("kept").alias("new"), F.count_if(~F.col("kept")).alias("duplicate"))
+
+
+def contradiction_counters(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(found, new, updated): contradicting pairs, and how many of them were not known and known before."""
+    old = known.select("fact1_id", "fact2_id").distinct().withColumn("__old", F.lit(True))
+    each = found.select("fact1_id", "fact2_id").join(old, ["fact1_id", "fact2_id"], "left")
+    return each.agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("__old").isNull()).alias("new"), F.count_if("__old").alias("updated"))
+
+
 def upsert_articles(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """By url: new title, publisher, source and date, but the old text and id."""
     return upsert(target, incoming, ["url"], ["title", "publisher", "ingestion_source", "published_date"], ["id", "raw_text"], [F.col("id")])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contradictions, gates, graph, hooks, provenance, similarity, tables, trust
+from ..schemas import EDGES, VERTICES
+from ..staging import staged
 
 
 def publish_graph(facts: DataFrame, articles: DataFrame, article_topics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,15 +31,20 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The (vertices, edges) that ``write_graph`` wrote."""
+    return spark.read.schema(VERTICES).parquet(f"{path}/vertices"), spark.read.schema(EDGES).parquet(f"{path}/edges")
+
+
 def run_pipeline(articles: DataFrame, sources: DataFrame, article_topics: DataFrame, now: str, model: hooks.Batch | None = None, threshold: float = 0.05) -> dict[str, DataFrame]:
     """Trust, facts, deduplication, provenance and contradictions of processed articles: the tables by name."""
-    scored = similarity.staged(trust.score_trust(articles, sources), "articles")
+    scored = staged(trust.score_trust(articles, sources), "articles")
     found = hooks.extract_facts(scored.select("id", F.col("raw_text").alias("text")), model=model)
     rows = found.withColumnRenamed("id", "article_id").withColumns({"id": F.xxhash64("article_id", "position"), "confidence": F.lit(0.5), "text": F.concat_ws(" ", "subject", "predicate", "object"), "created_at": F.lit(now).cast("timestamp")})
-    facts = similarity.staged(hooks.embed(gates.valid_triples(rows)).drop("text", "position"), "facts")
-    facts = similarity.staged(facts.join(similarity.dedup_facts(facts, threshold).where("kept").select("id"), "id", "left_semi"), "facts")
+    facts = staged(hooks.embed(gates.valid_triples(rows)).drop("text", "position"), "facts")
+    facts = staged(facts.join(similarity.dedup_facts(facts, threshold).where("kept").select("id"), "id", "left_semi"), "facts")
     traced = provenance.trace_provenance(facts, scored).withColumn("checked_at", F.when(F.col("checked"), F.lit(now).cast("timestamp")))
-    facts = similarity.staged(facts.join(traced.drop("checked"), "id"), "facts")
+    facts = staged(facts.join(traced.drop("checked"), "id"), "facts")
     pairs = contradictions.detect(facts, scored, now, backfill=True)
     live, archived = tables.archive_old(scored, now)
     vertices, edges = publish_graph(facts, scored, article_topics)

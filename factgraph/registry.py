@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import staging
 from .functions import scores, shapes, text, vectors
 from .operators import contradictions, gates, graph, hooks, provenance, search, similarity, tables, trust
 from .plans import consistency, publish
@@ -156,11 +158,86 @@ def valid_ids(s, d):
 # ---------------------------------------------------------------- sources and scalar functions
 
 
-@query()
+_TAGS = ("script", "style", "nav", "header", "footer", "aside", "form")
+_BODY = "html"
+for _tag in _TAGS:
+    _BODY = rf"regexp_replace({_BODY}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', ' ', 'g')"
+_BODY = rf"regexp_replace(regexp_replace({_BODY}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _BODY = f"replace({_BODY}, '{_entity}', '{_char}')"
+
+
+@query(rf"""SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, text FROM (SELECT page_id, html,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace({_BODY}, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+', ''), '\s+$', '') AS text FROM pages) WHERE length(text) > 200""")
 def scan_pages(s, d):
     return readers.extract_main_text(fx.table(s, d, "pages")).select("page_id", "title", "text")
 
 
+def _file(s: SparkSession, df: DataFrame, fmt: str, **options: str) -> str:
+    """A file of the given form that Spark writes from the given tables, for the readers to read."""
+    path = staging.new_dir(s, "source")
+    df.write.format(fmt).options(**options).save(path)
+    return path
+
+
+@query("SELECT url, (page_id % 25)::INT AS mentions FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 0 AND page_id % 25 >= 10 AND starts_with(url, 'http')")
+def scan_event_dump(s, d):
+    x = lambda n: [F.lit("x")] * n
+    mentions = F.when(F.col("page_id") % 7 == 0, "many").otherwise((F.col("page_id") % 25).cast("string"))
+    row = F.when(F.col("page_id") % 11 == 0, F.concat_ws("\t", *x(31), mentions, "url")).otherwise(F.concat_ws("\t", *x(31), mentions, *x(28), "url"))
+    return readers.read_event_dump(s, _file(s, fx.table(s, d, "pages").select(row.alias("value")), "text"))
+
+
+@query(r"""SELECT url, regexp_replace(regexp_replace(title, '^\s+', ''), '\s+$', '') AS title, 'Wire' AS publisher, CASE WHEN id % 3 = 0 THEN 'about ' || id ELSE coalesce(publisher, '') END AS raw_text,
+    CASE WHEN id % 5 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE published_date END AS published_date FROM articles_fx WHERE id % 4 <> 1 AND id % 6 <> 1 AND regexp_matches(title, '\S')""")
+def scan_rss(s, d):
+    a = fx.articles(s, d)
+    items = a.select(
+        F.when(F.col("id") % 4 == 1, " ").otherwise(F.col("title")).alias("title"), F.when(F.col("id") % 6 == 1, F.lit("ftp://x/")).otherwise(F.col("url")).alias("link"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("about "), "id")).alias("summary"), F.col("publisher").alias("description"),
+        F.when(F.col("id") % 5 != 0, F.date_format("published_date", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).alias("pubDate"))
+    return readers.read_feed_items(s, _file(s, items, "xml", rowTag="item", rootTag="channel"), "Wire", NOW)
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey)::INT - 1 AS position, n_name AS name, 'https://' || lower(n_name) || '.example/' AS url, n_regionkey::VARCHAR AS category, (n_nationkey % 10)::DOUBLE AS trust_score FROM nation")
+def scan_trusted_sources(s, d):
+    entry = F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example/")).alias("url"), F.col("n_regionkey").cast("string").alias("category"), (F.col("n_nationkey") % 10).cast("double").alias("trust_score"))
+    whole = fx.table(s, d, "nation").agg(F.sort_array(F.collect_list(entry)).alias("trusted_sources"))  # a list kept by hand: one document
+    return readers.read_trusted_sources(s, _file(s, whole, "json"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def scan_tables(s, d):
+    path = _file(s, fx.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "csv", header="true")
+    return readers.read_table(s, path, "o_orderkey long, o_custkey long, o_totalprice double", "csv", header="true")
+
+
+def _escaped_sql(c: str) -> str:
+    out = rf"regexp_replace(regexp_replace(regexp_replace({c}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+', ''), '\s+$', '')"
+    for raw, safe in (("'\\'", "'\\\\'"), ("chr(34)", "'\\' || chr(34)"), ("chr(39)", "'\\' || chr(39)"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+        out = f"replace({out}, {raw}, {safe})"
+    return out
+
+
+def _encoded_sql(c: str) -> str:
+    out = f"url_encode({c})"
+    for form, char in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*")):
+        out = f"replace({out}, '{form}', '{char}')"
+    return out
+
+
+@query(f"SELECT conv_id, turn, {_escaped_sql('text')} AS escaped, {_encoded_sql('text')} AS encoded FROM conversations")
+def escaped_text(s, d):
+    return fx.table(s, d, "conversations").select("conv_id", "turn", text.escaped(F.col("text")).alias("escaped"), text.encoded_path(F.col("text")).alias("encoded"))
+
+
+@query("SELECT coalesce(CASE WHEN id % 3 <> 0 THEN id END::VARCHAR, 'unknown') AS id, coalesce(CASE WHEN id % 4 <> 0 THEN confidence END, 0.5) AS confidence, coalesce(CASE WHEN id % 5 = 0 THEN confidence END, 0.0)::DOUBLE AS controversy, coalesce(strftime(checked_at, '%Y-%m-%d'), 'Unknown Date') AS day, embedding AS vector, printf('%.1f', confidence * 100) AS percent FROM facts_fx")
+def hit_defaults(s, d):
+    when = lambda c, v: F.when(c, F.col(v))
+    cells = text.hit_defaults(when(F.col("id") % 3 != 0, "id"), when(F.col("id") % 4 != 0, "confidence"), when(F.col("id") % 5 == 0, "confidence"))
+    return fx.facts(s, d).select(*cells, text.date_or_unknown(F.date_format("checked_at", "yyyy-MM-dd")).alias("day"), vectors.unwrapped(F.array("embedding")).alias("vector"), scores.percent_text(F.col("confidence")).alias("percent"))
+
+
 @query("SELECT id, embedding AS vector FROM facts_fx")
 def vector_text(s, d):
     f = fx.facts(s, d).select("id", vectors.format_vector_text(F.col("embedding")).alias("t"))
@@ -251,12 +328,11 @@ def insert_ignore(s, d):
     return tables.insert_ignore(old, new, ["url"], [F.col("id")])
 
 
-@query("""SELECT url, id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN title ELSE 'new ' || title END AS title, CASE WHEN id % 2 = 0 THEN left(raw_text, 40) ELSE 'other' END AS raw_text FROM articles_fx""")
+@query("""SELECT url, id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN title ELSE 'new ' || title END AS title, md5(CASE WHEN id % 2 = 0 THEN raw_text ELSE 'other' END) AS text_md5 FROM articles_fx""")
 def upsert_articles(s, d):
     a = fx.articles(s, d).select("url", "id", "title", "raw_text")
     new = a.where("id % 2 = 1 OR id % 4 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "raw_text": F.lit("other")})
-    # whole texts are merged; only what the SQL compares is cut
-    return tables.upsert_articles(a.where("id % 2 = 0"), new).withColumn("raw_text", F.left("raw_text", F.lit(40)))
+    return tables.upsert_articles(a.where("id % 2 = 0"), new).select("url", "id", "title", F.md5("raw_text").alias("text_md5"))
 
 
 @query("""SELECT src AS fact1_id, dst AS fact2_id, CASE WHEN src % 20 = 0 THEN 0.99::DOUBLE ELSE weight END AS contradiction_score, TIMESTAMP '2024-01-01' AS detected_at FROM edges_fx WHERE type = 'CONTRADICTS'""")
@@ -325,7 +401,35 @@ def publish_graph(s, d):
     return n(v, "vertex").unionByName(n(e, "edge"))
 
 
-@query()
+def _sizes(v: DataFrame, e: DataFrame) -> DataFrame:
+    n = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return n(v, "vertex").unionByName(n(e, "edge"))
+
+
+@query(f"SELECT 'vertex' AS kind, count(*) AS n, 0::BIGINT AS after_reset FROM (SELECT id FROM ({PUBLISHED}) UNION ALL SELECT id FROM ({GATED_ARTICLES})) UNION ALL SELECT 'edge', count(*), 0 FROM ({ASSERTED})")
+def reset_graph(s, d):
+    path = staging.new_dir(s, "graph")
+    publish.write_graph(*publish.publish_graph(fx.facts(s, d), fx.articles(s, d), fx.article_topics(s, d)), path)
+    before = staging.staged(_sizes(*publish.read_graph(s, path)), "before")
+    publish.write_graph(*graph.empty_graph(s), path)
+    return before.join(_sizes(*publish.read_graph(s, path)).withColumnRenamed("n", "after_reset"), "kind")
+
+
+@query(f"""SELECT 'facts' AS part, id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS at, {STATEMENT} AS text FROM facts_fx UNION ALL SELECT 'articles', id, strftime(published_date, '%Y-%m-%dT%H:%M:%S'), url FROM articles_fx
+    UNION ALL SELECT 'assertions', fact_id, NULL, article_id::VARCHAR FROM ({ASSERTIONS})""")
+def export_payload(s, d):
+    path = staging.new_dir(s, "payload")
+    publish.export_payload(fx.facts(s, d).drop("embedding"), fx.articles(s, d), _assertions(s, d), path)
+    got = lambda part, schema: s.read.schema(schema).json(f"{path}/{part}")
+    f = got("facts", "id long, created_at string, subject string, predicate string, object string").select(F.lit("facts").alias("part"), "id", F.col("created_at").alias("at"), text.fact_statement(F.col("subject"), F.col("predicate"), F.col("object")).alias("text"))
+    a = got("articles", "id long, published_date string, url string").select(F.lit("articles").alias("part"), "id", F.col("published_date").alias("at"), F.col("url").alias("text"))
+    e = got("assertions", "fact_id long, article_id string").select(F.lit("assertions").alias("part"), F.col("fact_id").alias("id"), F.lit(None).cast("string").alias("at"), F.col("article_id").alias("text"))
+    return f.unionByName(a).unionByName(e)
+
+
+@query(f"""WITH src AS (SELECT dst AS id, list({{'id': a.id, 'title': title, 'url': url}} ORDER BY a.id, title, url) AS sources FROM edges_fx JOIN articles_fx a ON a.id = src WHERE type = 'ASSERTED' GROUP BY dst)
+    SELECT f.id, to_json({{'@context': 'https://schema.org', '@type': 'ClaimReview', 'factReviewed': {STATEMENT}, 'reviewRating': {{'@type': 'Rating', 'ratingValue': confidence, 'bestRating': 1.0::DOUBLE, 'worstRating': 0.0::DOUBLE}},
+        'itemReviewed': {{'@type': 'CreativeWork', 'sources': coalesce(sources, [])}}}})::VARCHAR AS jsonld FROM facts_fx f LEFT JOIN src ON src.id = f.id""")
 def export_jsonld(s, d):
     f = fx.facts(s, d)
     return graph.export_claim_review(f.select("id"), f, fx.articles(s, d), fx.edges(s, d))
@@ -386,7 +490,7 @@ def fact_history(s, d):
 
 
 @query("""WITH RECURSIVE p AS (SELECT src AS start_id, dst AS id, 1 AS distance, [src, dst] AS path FROM edges_fx WHERE type = 'EVOLVES_TO'
-    UNION ALL SELECT start_id, e.dst, distance + 1, list_append(path, e.dst) FROM p JOIN edges_fx e ON e.src = p.id AND e.type = 'EVOLVES_TO' WHERE NOT list_contains(path, e.dst) AND distance < 10)
+    UNION ALL SELECT start_id, e.dst, distance + 1, list_append(path, e.dst) FROM p JOIN edges_fx e ON e.src = p.id AND e.type = 'EVOLVES_TO' WHERE NOT list_contains(path, e.dst))
     SELECT start_id, id, distance::INT AS distance, path FROM p""")
 def fact_evolution(s, d):
     return graph.evolve(fx.facts(s, d).select("id"), fx.edges(s, d))
@@ -506,7 +610,7 @@ def similar_pairs(s, d):
     return sized.select("a", "b", F.round("distance", 6).alias("distance"), (F.col("na") * F.col("nb")).alias("links"))
 
 
-@query()
+@query()  # candidates by random projections: some pairs are missed, so no SQL gives the same rows; a test measures recall against all pairs
 def similar_pairs_lsh(s, d):
     return similarity.similar_pairs(fx.facts(s, d), 0.6, method="lsh")[0].select("a", "b", F.round("distance", 6).alias("distance"))
 
@@ -543,11 +647,24 @@ def dedup_semantic(s, d):
     return similarity.dedup_facts(fx.facts(s, d))
 
 
-@query()
+# one fact after the other, in order: kept unless a kept one is near; of equal vectors only the first can be kept
+@query(f"""WITH RECURSIVE o AS (SELECT id, embedding, row_number() OVER (ORDER BY created_at, id) AS rn, row_number() OVER (PARTITION BY embedding ORDER BY created_at, id) AS copy FROM facts_fx),
+    lead AS (SELECT id, embedding, row_number() OVER (ORDER BY rn) AS k FROM o WHERE copy = 1),
+    near AS (SELECT b.k, list(a.k) AS earlier FROM lead a JOIN lead b ON a.k < b.k WHERE {DIST} < 0.6 GROUP BY b.k),
+    every AS (SELECT lead.k, coalesce(earlier, []) AS earlier FROM lead LEFT JOIN near ON near.k = lead.k),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT e.k, CASE WHEN list_has_any(r.kept, e.earlier) THEN r.kept ELSE list_append(r.kept, e.k) END FROM r JOIN every e ON e.k = r.k + 1),
+    final AS (SELECT unnest(kept) AS k FROM r WHERE k = (SELECT max(k) FROM lead))
+    SELECT id, id IN (SELECT lead.id FROM lead JOIN final ON final.k = lead.k) AS kept FROM facts_fx""")
 def dedup_semantic_wide(s, d):
     return similarity.dedup_facts(fx.facts(s, d), 0.6)
 
 
+@query("SELECT id, NOT EXISTS (SELECT 1 FROM facts_fx e WHERE e.embedding = f.embedding AND (e.id % 4 = 0 OR e.id < f.id)) AS kept FROM facts_fx f WHERE id % 4 <> 0")
+def dedup_against_stored(s, d):
+    f = fx.facts(s, d)
+    return similarity.dedup_facts(f.where("id % 4 <> 0").withColumn("created_at", F.lit(NOW).cast("timestamp")), 1e-6, f.where("id % 4 = 0"))
+
+
 @query(f"""WITH b AS (SELECT f.id FROM facts_fx f JOIN articles_fx a ON a.id = f.article_id WHERE trust_score >= 0.8 AND f.created_at < TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND is_original ORDER BY f.created_at DESC, f.id LIMIT 500),
     c AS (SELECT f.id FROM facts_fx f JOIN articles_fx a ON a.id = f.article_id WHERE is_original AND f.created_at >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)
     SELECT c.id AS fact1_id, b.id AS fact2_id FROM c JOIN b ON c.id <> b.id""")
@@ -644,16 +761,20 @@ def expand_terms(s, d):
 # ---------------------------------------------------------------- hooks, contradictions, consistency
 
 
-@query()
+@query(r"""WITH w AS (SELECT item_id, text, list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), lambda x: ('0x' || left(md5(x), 8))::BIGINT % 64) AS slots FROM benchmark),
+    c AS (SELECT item_id, text, list_transform(range(64), lambda i: len(list_filter(slots, lambda x: x = i))::DOUBLE) AS n, len(slots) AS words FROM w)
+    SELECT item_id, text, CASE WHEN words > 0 THEN list_transform(n, lambda x: (x / sqrt(list_sum(list_transform(n, lambda y: y * y))))::FLOAT) END AS embedding FROM c""")
 def embed(s, d):
     return hooks.embed(fx.table(s, d, "benchmark").select("item_id", "text"))
 
 
-@query()
+@query("""WITH x AS (SELECT label AS topic_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT topic_id, i, avg(x) AS x FROM x GROUP BY ALL),
+    p AS (SELECT topic_id, list(x ORDER BY i) AS p FROM m GROUP BY topic_id), c AS (SELECT id, topic_id, list_cosine_similarity(embedding, p) AS score FROM facts_fx, p)
+    SELECT id AS article_id, topic_id, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic_id) AS r FROM c) WHERE r = 1 AND score > 0.1""")
 def classify_topics(s, d):
     f = fx.facts(s, d)
     proto = hooks.topic_prototypes(fx.table(s, d, "embeddings").select(F.col("label").alias("topic_id"), "embedding"))
-    return hooks.classify_topics(f, proto, 0.1)
+    return hooks.classify_topics(f, proto, 0.1).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(r"""WITH s AS (SELECT doc_id AS id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS position FROM documents),
@@ -662,22 +783,66 @@ def extract_facts(s, d):
     return hooks.extract_facts(fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+@query(r"""WITH h AS (SELECT doc_id, text, left(text, 3500) AS head, reverse(left(text, 3500)) AS back FROM documents),
+    c AS (SELECT doc_id, text, head, greatest(CASE WHEN instr(back, ' .') > 0 THEN length(head) - instr(back, ' .') - 1 ELSE -1 END, CASE WHEN instr(back, chr(10)) > 0 THEN length(head) - instr(back, chr(10)) ELSE -1 END,
+        CASE WHEN instr(back, chr(10) || '.') > 0 THEN length(head) - instr(back, chr(10) || '.') - 1 ELSE -1 END) AS cut_at FROM h),
+    s AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN length(text) <= 3500 THEN text WHEN cut_at > 0 THEN left(head, cut_at + 1) ELSE head END, '. '), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: length(x) > 15) AS s FROM c)
+    SELECT doc_id AS id, generate_subscripts(s, 1)::INT - 1 AS position, unnest(s) AS claim FROM s""")
 def extract_claims(s, d):
     return hooks.extract_claims(fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+# a text is words and what lies between them: a word's place is the length of all before it
+_WORD = rf"{hooks.ENTITY}|{hooks.WORD}"
+_ENTITIES = rf"""m AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS words, regexp_split_to_array(text, '{_WORD}') AS gaps FROM documents),
+    p AS (SELECT doc_id, generate_subscripts(words, 1) AS k, unnest(words) AS word, unnest(gaps[1:len(words)]) AS gap FROM m),
+    l AS (SELECT doc_id, k, word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) - length(word) AS start FROM p),
+    e AS (SELECT doc_id AS id, word AS text, 'ORG' AS type, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT - 1 AS position, start::INT AS start FROM l WHERE regexp_full_match(word, '{hooks.ENTITY}'))"""
+
+
+@query(f"WITH {_ENTITIES} SELECT * FROM e")
+def extract_entities(s, d):
+    return hooks.extract_entities(fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(f"WITH {_ENTITIES} SELECT id, text, type, start FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(text), type ORDER BY start) AS r FROM e) WHERE r = 1")
 def unique_entities(s, d):
     return hooks.unique_entities(hooks.extract_entities(fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 
 
-@query()
+def _nli_sql(a: str, b: str) -> str:
+    """The default score of two facts by their aliases."""
+    negated = lambda t: rf"regexp_matches(lower(concat_ws(' ', {t}.subject, {t}.predicate, {t}.object)), '\b(not|no|never|none|nor)\b|n''t\b')"
+    numbers = lambda t: rf"list_sort(regexp_extract_all(concat_ws(' ', {t}.subject, {t}.predicate, {t}.object), '\d+'))"
+    differ = f"({negated(a)} <> {negated(b)} OR len({numbers(a)}) > 0 AND len({numbers(b)}) > 0 AND {numbers(a)} <> {numbers(b)})"
+    return f"CASE WHEN lower({a}.subject) = lower({b}.subject) AND lower({a}.predicate) = lower({b}.predicate) AND {differ} THEN 0.9 ELSE 0.1 END::DOUBLE"
+
+
+@query(f"SELECT a.id AS fact1_id, b.id AS fact2_id, {_nli_sql('a', 'b')} AS contradiction_score FROM stated a JOIN stated b ON b.id = a.id + 1".replace("stated", "(SELECT id, CASE WHEN id % 3 = 0 THEN 'it' ELSE subject END AS subject, CASE WHEN id % 3 < 2 THEN 'is' ELSE predicate END AS predicate, object || CASE WHEN id % 4 = 1 THEN ' not 7' WHEN id % 4 = 2 THEN ' 7 or 12' ELSE '' END AS object FROM facts_fx)"))
+def score_nli(s, d):
+    f = fx.facts(s, d)
+    k = F.col("id")
+    stated = f.select("id", F.when(k % 3 == 0, "it").otherwise(F.col("subject")).alias("subject"), F.when(k % 3 < 2, "is").otherwise(F.col("predicate")).alias("predicate"), F.concat("object", F.when(k % 4 == 1, " not 7").when(k % 4 == 2, " 7 or 12").otherwise("")).alias("object"))
+    pairs = hooks.pair_texts(f.select(k.alias("fact1_id"), (k + 1).alias("fact2_id")), stated)
+    return hooks.score_nli(pairs).select("fact1_id", "fact2_id", "contradiction_score")
+
+
+def _found_sql(pairs: str, method: str) -> str:
+    return f"""{pairs} SELECT least(a.id, b.id) AS fact1_id, greatest(a.id, b.id) AS fact2_id, max({_nli_sql('a', 'b')}) AS contradiction_score, TIMESTAMP '{NOW}' AS detected_at, TIMESTAMP '{NOW}' AS updated_at, '{method}' AS detection_method
+        FROM pairs JOIN facts_fx a ON a.id = pairs.fact1_id JOIN facts_fx b ON b.id = pairs.fact2_id GROUP BY 1, 2"""
+
+
+_CHECKED = f"c AS (SELECT f.id, f.embedding FROM facts_fx f JOIN articles_fx a ON a.id = f.article_id WHERE is_original AND f.created_at >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)"
+_BASELINE = f"base AS (SELECT f.id FROM facts_fx f JOIN articles_fx a ON a.id = f.article_id WHERE trust_score >= 0.8 AND f.created_at < TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND is_original ORDER BY f.created_at DESC, f.id LIMIT 500)"
+
+
+@query(_found_sql(f"""WITH {_CHECKED}, n AS (SELECT a.id, b.id AS neighbor_id, {DIST} AS dist FROM c a JOIN facts_fx b ON a.id <> b.id AND b.is_original WHERE {DIST} BETWEEN 0.05 AND 0.65),
+    pairs AS (SELECT id AS fact1_id, neighbor_id AS fact2_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dist, 9), neighbor_id) AS r FROM n) WHERE r <= 10)""", "band"))
 def detect_contradictions(s, d):
     return contradictions.detect(fx.facts(s, d), fx.articles(s, d), NOW, high=0.65, least=0.05)
 
 
-@query()
+@query(_found_sql(f"WITH {_CHECKED}, {_BASELINE}, pairs AS (SELECT c.id AS fact1_id, base.id AS fact2_id FROM c JOIN base ON c.id <> base.id)", "cross"))
 def detect_contradictions_cross(s, d):
     return contradictions.detect(fx.facts(s, d), fx.articles(s, d), NOW, candidates="cross", least=0.05)
 
@@ -749,6 +914,17 @@ def stream_new_vs_baseline(s, d):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH m AS (SELECT event_id, ts, time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 30 MINUTE AS window_end FROM events), b AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM m WHERE event_id % 2 = 0)
+    SELECT count(*) FILTER (event_id % 2 = 0 OR window_end > mark) AS on_time, count(*) FILTER (event_id % 2 = 1 AND window_end <= mark) AS late FROM m, b""")
+def late_data(s, d):
+    e = fx.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = staging.new_dir(s, "arrivals")
+    for part in (0, 1):  # the second half arrives after the whole first half
+        e.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in the order of their times, which some stores round to seconds
+    return streams.late_rows(streams.read_files(s, f"{path}/*.parquet", e.schema, 1), "ts", "30 minutes", "1 hour").select("on_time", "late")
+
+
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_durable_ingest(s, d):
     empty = s.createDataFrame([], "user_id long, event_id long")
@@ -772,3 +948,25 @@ def distinct_rows(s, d):
 @query("SELECT ingestion_source, count(*) AS n, count(*) FILTER (processed_at IS NULL) AS waiting FROM articles_fx GROUP BY 1")
 def run_counters(s, d):
     return fx.articles(s, d).groupBy("ingestion_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("processed_at").isNull()).alias("waiting"))
+
+
+@query("SELECT ingestion_source, count(*) AS found, count(*) FILTER (id % 2 = 1) AS inserted, count(*) FILTER (id % 2 = 0) AS skipped FROM articles_fx GROUP BY 1")
+def insert_counters(s, d):
+    a = fx.articles(s, d).select("id", "url", "ingestion_source")
+    return tables.insert_counters(a.where("id % 2 = 0"), a, ["url"], [F.col("id")], "ingestion_source")
+
+
+@query("SELECT count(DISTINCT embedding) AS new, count(*) - count(DISTINCT embedding) AS duplicate FROM facts_fx")
+def dedup_counters(s, d):
+    return tables.dedup_counters(similarity.dedup_facts(fx.facts(s, d), 1e-6))
+
+
+@query("SELECT count(*) AS found, count(*) FILTER (src % 20 <> 0) AS new, count(*) FILTER (src % 20 = 0) AS updated FROM edges_fx WHERE type = 'CONTRADICTS'")
+def contradiction_counters(s, d):
+    e = fx.edges(s, d).where("type = 'CONTRADICTS'").selectExpr("src AS fact1_id", "dst AS fact2_id")
+    return tables.contradiction_counters(e, e.where("fact1_id % 20 = 0"))
+
+
+@query("SELECT id, subject, predicate, object, confidence FROM facts_fx ORDER BY confidence DESC, id LIMIT 20")
+def page_bounds(s, d):
+    return graph.list_facts(fx.facts(s, d), *graph.page_bounds(500, -3, strict=False))

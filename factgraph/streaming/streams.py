@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import similarity
-from ..operators.tables import advance_queue, insert_ignore
+from ..operators.tables import advance_queue, new_rows
+from ..staging import new_dir, numbered
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -34,17 +33,12 @@ def session_rates(rows: DataFrame, ts: str, by: list[str], gap: str, delay: str
     return rows.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
-def _dir(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return f"{where.rstrip('/')}/factgraph/stream-{uuid.uuid4().hex}"
-    similarity.staged(spark.range(0), "probe")
-    return f"file://{similarity._OWN_DIR[spark.sparkContext.applicationId]}/factgraph/stream-{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return what its sink holds; for ``complete`` and ``update`` modes each batch's rows with its number.
 
-
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what its sink holds; for ``complete`` and ``update`` modes each batch's rows with its number."""
-    spark, base = stream.sparkSession, _dir(stream.sparkSession)
+    With a ``folder`` of the caller's a later call goes on from where this one ended.
+    """
+    spark, base = stream.sparkSession, folder or new_dir(stream.sparkSession, "stream")
     sink = f"{base}/out"
 
     def write(df: DataFrame, batch: int) -> None:
@@ -62,30 +56,65 @@ def complete(stream: DataFrame) -> DataFrame:
     return out.join(F.broadcast(last), "batch").drop("batch")  # one row
 
 
-def each_batch(stream: DataFrame, state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """A table that ``step(state, batch)`` replaces for every batch, staged each time; a batch that runs again starts from the same state."""
-    base = _dir(stream.sparkSession)
-    seen: dict[int, DataFrame] = {-1: similarity.staged(state, "state")}
+def each_batch(stream: DataFrame, state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """A table that ``step(state, batch)`` replaces for every batch.
+
+    The state after batch n lies in ``folder`` under n + 1, so a batch that runs again starts from the same state, and
+    a later call with the same ``folder`` goes on where this one ended; ``state`` is the start of the first call alone.
+    """
+    spark, base = stream.sparkSession, folder or new_dir(stream.sparkSession, "stream")
+    schema, at = state.schema, f"{base}/state"
+    state.write.mode("ignore").parquet(f"{at}/upto=0")
 
     def run(df: DataFrame, batch: int) -> None:
-        seen[batch] = similarity.staged(step(seen[max(k for k in seen if k < batch)], df), "state")
+        before = spark.read.schema(schema).parquet(f"{at}/upto={batch}")
+        step(before, df).write.mode("overwrite").parquet(f"{at}/upto={batch + 1}")
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(run).start().awaitTermination()
-    return seen[max(seen)]
+    return spark.read.schema(schema).parquet(f"{at}/upto={numbered(spark, at, 'upto')[-1]}")
+
+
+def durable_ingest(rows: DataFrame, target: DataFrame, keys: list[str], order: str, folder: str | None = None) -> DataFrame:
+    """``target`` and every new key of the stream, for good: each batch writes only what it adds, and a later call with the same ``folder`` goes on."""
+    spark, base = rows.sparkSession, folder or new_dir(rows.sparkSession, "stream")
+    at, schema = f"{base}/added", target.schema
+    target.limit(0).write.mode("ignore").parquet(f"{at}/batch=-1")
+
+    def added(before: int | None = None) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{at}/batch={n}" for n in numbered(spark, at, "batch") if before is None or n < before])
+
+    def run(df: DataFrame, batch: int) -> None:
+        known = target.unionByName(added(batch))
+        new_rows(known, df, keys, [F.col(order)]).select(target.columns).write.mode("overwrite").parquet(f"{at}/batch={batch}")
+
+    rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(run).start().awaitTermination()
+    return target.unionByName(added())
+
 
+def late_rows(rows: DataFrame, ts: str, width: str, delay: str = "0 seconds", folder: str | None = None) -> DataFrame:
+    """(on_time, late, watermark) of a stream counted by tumbling windows: a row is late where its window ended before the watermark when its batch began.
+
+    Late rows are those that ``rates`` drops. The watermark after a batch is its latest time less ``delay``, and never falls.
+    """
+    start = rows.sparkSession.createDataFrame([(0, 0, None)], "on_time long, late long, watermark timestamp")
+    w = F.window(ts, width)
+
+    def step(state: DataFrame, batch: DataFrame) -> DataFrame:
+        each = batch.select(w["end"].alias("end"), F.col(ts).alias("ts")).crossJoin(F.broadcast(state.select("watermark")))  # one row
+        n = each.agg(F.count_if(F.coalesce(F.col("end") <= F.col("watermark"), F.lit(False))).alias("l"), F.count("ts").alias("n"), F.max("ts").alias("top"))
+        after = F.greatest("watermark", F.col("top") - F.expr(f"INTERVAL {delay}"))
+        return state.crossJoin(n).select((F.col("on_time") + F.col("n") - F.col("l")).alias("on_time"), (F.col("late") + F.col("l")).alias("late"), after.alias("watermark"))
 
-def durable_ingest(rows: DataFrame, target: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``target`` and every new key of the stream, for good."""
-    return each_batch(rows, target, lambda state, batch: insert_ignore(state, batch, keys, [F.col(order)]))
+    return each_batch(rows, start, step, folder)
 
 
-def queue_state(rows: DataFrame, queue: DataFrame) -> DataFrame:
+def queue_state(rows: DataFrame, queue: DataFrame, folder: str | None = None) -> DataFrame:
     """The queue after a stream of (article_id, stage) with stages SCRAPED and CLASSIFIED."""
 
     def step(state: DataFrame, batch: DataFrame) -> DataFrame:
         return advance_queue(state, batch.where("stage = 'SCRAPED'"), batch.where("stage = 'CLASSIFIED'"))
 
-    return each_batch(rows, queue, step)
+    return each_batch(rows, queue, step, folder)
 
 
 def new_vs_baseline(rows: DataFrame, baseline: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgraph.functions import scores, shapes, text, vectors
-from factgraph.operators import gates, graph, provenance, similarity, tables, trust
+from factgraph.operators import gates, graph, hooks, provenance, similarity, tables, trust
 from factgraph.sources import readers
 from factgraph.streaming import streams
 
@@ -194,3 +194,61 @@ def test_upsert_query_merges_whole_texts(spark, monkeypatch):
     want = {r["id"]: r["raw_text"] if r["id"] % 2 == 0 else "other" for r in fixtures.articles(spark, sf).select("id", "raw_text").collect()}
     assert max(len(t or "") for t in want.values()) > 40
     assert {r["id"]: r["raw_text"] for r in seen[0].collect()} == want
+
+
+def test_null_keys_conflict_with_nothing(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2)], "url string, id long")
+    new = spark.createDataFrame([(None, 3), (None, 4), ("a", 5), ("b", 7), ("b", 6)], "url string, id long")
+    rows = lambda df: sorted(((r["url"] or "", r["id"]) for r in df.select("url", "id").collect()))
+    assert rows(tables.insert_ignore(old, new, ["url"], [F.col("id")])) == [("", 2), ("", 3), ("", 4), ("a", 1), ("b", 6)]
+    assert rows(tables.upsert(old, new, ["url"], ["id"], [], [F.col("id")])) == [("", 2), ("", 3), ("", 4), ("a", 5), ("b", 6)]
+
+
+def test_entities_stand_where_they_start(spark):
+    text = "Anna-Lena met MacAnn. Then Ann left. Then Ann came, éAnn Ann_x A Bob Carol Dee2"
+    rows = hooks.extract_entities(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")).collect()
+    assert [(r["text"], r["start"]) for r in rows] == [("Anna", 0), ("Lena", 5), ("MacAnn", 14), ("Then Ann", 22), ("Then Ann", 37), ("Ann", text.index("Ann_x")), ("Bob Carol Dee2", text.index("Bob"))]
+    assert all(text[r["start"] :].startswith(r["text"]) for r in rows)
+    first = hooks.unique_entities(spark.createDataFrame(rows))
+    assert {(r["text"], r["start"]) for r in first.where("text like 'Then%'").collect()} == {("Then Ann", 22)}
+
+
+def test_topics_beyond_one_part(spark, monkeypatch):
+    monkeypatch.setattr(hooks, "PROTOTYPES", 3)
+    proto = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(10)]) for i in range(10)], "topic_id long, embedding array<double>")
+    own = proto.select((F.col("topic_id") + 100).alias("id"), "embedding")
+    assert {r["article_id"]: r["topic_id"] for r in hooks.classify_topics(own, proto).collect()} == {100 + i: i for i in range(10)}
+
+
+def _arrive(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    inbox, schema = str(tmp_path / "inbox"), "key string, n long"
+    read = lambda: streams.read_files(spark, f"{inbox}/*.parquet", "key string, n long")
+    start = spark.createDataFrame([("a", 1)], schema)
+    total = lambda state, batch: state.unionByName(batch).groupBy("key").agg(F.sum("n").alias("n"))
+    for rows, sums, kept in (([("a", 2), ("b", 1), ("b", 5)], {"a": 3, "b": 6}, {"a": 1, "b": 1}), ([("b", 4), ("c", 9)], {"a": 3, "b": 10, "c": 9}, {"a": 1, "b": 1, "c": 9}), ([], {"a": 3, "b": 10, "c": 9}, {"a": 1, "b": 1, "c": 9})):
+        if rows:
+            _arrive(spark, inbox, rows, schema)
+        assert {r["key"]: r["n"] for r in streams.each_batch(read(), start, total, str(tmp_path / "sums")).collect()} == sums
+        assert {r["key"]: r["n"] for r in streams.durable_ingest(read(), start, ["key"], "n", str(tmp_path / "kept")).collect()} == kept
+
+
+def test_lsh_finds_nine_in_ten(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 32))
+    f = spark.createDataFrame([(i, (centres[i % 30] + 0.35 * rng.normal(size=32)).tolist()) for i in range(600)], "id long, embedding array<double>")
+    pairs = lambda method: {(r["a"], r["b"]) for r in similarity.similar_pairs(f, 0.2, method)[0].collect()}
+    exact, found = pairs("blocked"), pairs("lsh")
+    assert len(exact) > 1000 and found <= exact and len(found) >= 0.9 * len(exact)
+
+
+def test_staged_tables_go(spark):
+    from factgraph import staging
+
+    kept = staging.staged(spark.range(3), "kept")
+    assert kept.count() == 3 and staging.drop_staged(spark) > 0
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()

@@ -9,7 +9,7 @@ duckdb = pytest.importorskip("duckdb")
 from factgraph import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels embeddings conversations events".split()
+TABLES = "documents pages benchmark labels embeddings conversations events orders nation".split()
 
 
 def plain(v):
