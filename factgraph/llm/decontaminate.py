@@ -1,11 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
-Documents are partitioned by size: class c holds those of 2**c to 2**(c+1) - 1 shingles. A document's one-permutation
-signature has 8 * 2**c buckets, by the leading bits of its shingles' hashes, with the least and the greatest hash of
-each bucket. So signatures grow with documents, and a short item inside a long document still agrees in most of the
-buckets that it touches: a shared shingle is hidden only where its bucket holds more than two, which under a load
-of 1/4 befalls less than one in a hundred. An item has a signature for each size class; a document that agrees with
-it in any bucket is a candidate, and candidates are verified by exact shingle containment.
+An item's MinHash signature is its least shingle hashes, as many as an item of its size may miss and one more: for a
+threshold of 0.8 a fifth of them and one. A document that holds enough of the item holds one of these at least, so the
+search loses nothing, however short the item and long the document. Documents are partitioned by size: class c has
+those of 2**c to 2**(c+1) - 1 shingles, and an item is searched for only in classes that can hold enough of it.
+Documents that hold a signature hash are candidates; only their texts are read again, and each is verified by the exact
+containment of the item's shingles, as words and not as hashes.
 """
 
 from __future__ import annotations
@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
-#: Items of up to this many shingles are candidates wherever they share one.
-SHORT = 2
-#: Size classes of documents: up to 2**31 shingles.
-CLASSES = 31
-#: Benchmark shingles are broadcast only up to this number of rows (about 100 MB); beyond it the join shuffles.
+#: Signature hashes and candidates are broadcast only up to this number of rows (about 100 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -35,54 +31,52 @@ def shingles(w: Column) -> Column:
     return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def bucket(h: Column, c: Column) -> Column:
-    """The bucket of a hash in size class c: its 3 + c leading bits."""
-    return F.call_function("shiftrightunsigned", h, F.lit(61) - c)
-
-
-def _marked(hashes: Column, c: Column) -> Column:
-    """Sorted hashes, each with whether the signature of class c holds it: first or last of its bucket."""
-    edge = lambda x, i: bucket(x, c) != bucket(F.get(hashes, i), c)
-    return F.transform(hashes, lambda x, i: F.struct(x.alias("h"), ((i == 0) | (i == F.size(hashes) - 1) | edge(x, i - 1) | edge(x, i + 1)).alias("held")))
+def shingle_texts(w: Column) -> Column:
+    """The distinct runs of five words as texts; words hold no space, so equal texts are equal runs."""
+    last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
+    return F.when(F.size(w) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def _sorted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hashes sorted, c): a projection at a time, and no filter on what they make, as either would evaluate an expression once for each use."""
-    w = df.select(F.col(f"`{key}`").alias("key"), words(F.col(f"`{text}`")).alias("w"))
-    s = w.select("key", F.sort_array(shingles(F.col("w"))).alias("hashes"))
-    return s.select("key", "hashes", F.floor(F.log2(F.greatest(F.size("hashes"), F.lit(1)))).cast("int").alias("c"))
+def size_class(n: Column) -> Column:
+    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
 
 
-def item_signatures(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, item_id, size, classes): each distinct shingle of each item with the classes whose signature holds it."""
-    s = _sorted(items, id_col, text_col).select("key", F.sort_array(F.array_distinct("hashes")).alias("hashes"))
-    by_class = s.select("key", "hashes", F.explode(F.sequence(F.lit(0), F.lit(CLASSES))).alias("c"))
-    rows = by_class.select("key", "c", F.size("hashes").alias("size"), F.inline(_marked(F.col("hashes"), F.col("c"))))
-    # items that share an id are one item per text: its size tells them apart
-    return rows.groupBy("key", "size", "h").agg(F.collect_set(F.when(F.col("held"), F.col("c"))).alias("classes")).withColumnRenamed("key", "item_id")
+def signatures(items: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, item, size, shingles, signature, least_class) of each item; ``item`` tells texts of one id apart."""
+    w = items.select(F.col(f"`{id_col}`").alias("item_id"), words(F.col(f"`{text_col}`")).alias("w"))
+    s = w.select("item_id", shingle_texts(F.col("w")).alias("shingles"), F.sort_array(F.array_distinct(shingles(F.col("w")))).alias("hashes")).distinct()
+    size, enough = F.size("shingles"), F.ceil(F.lit(threshold) * F.size("shingles")).cast("int")
+    return s.select("item_id", F.md5(F.array_join("shingles", "\n")).alias("item"), size.alias("size"), "shingles", F.slice("hashes", F.lit(1), size - enough + 1).alias("signature"), size_class(enough).alias("least_class"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of every document and item with containment >= threshold.
 
     Containment is the share of the item's distinct shingles (five lower-cased words) that the document has. One
-    pass over the documents; only shingles that a benchmark item has leave the map side.
+    pass over the documents; only shingles that an item's signature has leave the map side, and the texts of candidates
+    are read once more.
 
     Nulls: null, empty and blank texts have no shingles and match nothing; a null id is kept as it is. Rows that
-    repeat an id count as one document (or, with texts of one length, one item). Texts of under five words have a
-    single shingle. Empty tables give an empty result; extra columns are not read.
+    repeat an id are documents (or items) of their own; of those that hold an item of one id, the largest containment
+    stays. Texts of under five words have a single shingle. Empty tables give an empty result; extra columns are not
+    read.
     """
-    probes = common.staged(item_signatures(items, item_id_col, item_text_col), "items")
-    s = _sorted(docs, id_col, text_col)
-    each = s.select("key", "c", F.inline(_marked(F.col("hashes"), F.col("c"))))
-    met = each.join(common.if_small(probes, BROADCAST_ROWS), "h").select(
-        F.col("key").alias("doc_id"), "item_id", "size", "h", (F.col("held") & F.array_contains("classes", F.col("c"))).alias("agrees"))
-    # rows of one shingle collapse first, so no document's or item's matches meet in one place as a list
-    once = met.groupBy("doc_id", "item_id", "size", "h").agg(F.max("agrees").alias("agrees"))
-    found = once.groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("n_shared"), F.max("agrees").alias("candidate"))
-    # a short item may be hidden in all its buckets, so it needs no signature to agree
-    return found.where((F.col("candidate") | (F.col("size") <= SHORT)) & (F.col("n_shared") >= F.lit(threshold) * F.col("size"))).select(
-        "doc_id", "item_id", "n_shared", F.col("size").cast("long").alias("n_shingles"), (F.col("n_shared") / F.col("size")).alias("containment"))
+    known = common.staged(signatures(items, threshold, item_id_col, item_text_col), "items").where("size > 0")
+    probes = common.staged(known.select("item_id", "item", "least_class", F.explode("signature").alias("h")), "signatures")
+    # a projection at a time, and no filter on what it makes (explode, unlike explode_outer, adds one): either would evaluate an expression once for each use
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("w"))
+    hashed = own.select("doc_id", shingles(F.col("w")).alias("hashes"))
+    sized = hashed.select("doc_id", "hashes", size_class(F.size("hashes")).alias("c"))
+    each = sized.select("doc_id", "c", F.explode_outer("hashes").alias("h"))
+    met = each.join(common.if_small(probes, BROADCAST_ROWS), "h").where("coalesce(c, 0) >= least_class")  # coalesce: of a bare column Spark would infer a filter below
+    found = common.staged(met.select("doc_id", "item_id", "item").distinct(), "candidates")
+
+    held = found.withColumnsRenamed({"doc_id": "found_in", "item_id": "found_item"})
+    texts = own.join(common.if_small(held, BROADCAST_ROWS), own["doc_id"].eqNullSafe(held["found_in"])).select("doc_id", "found_item", "item", shingle_texts(F.col("w")).alias("own"))
+    items_ = common.if_small(known.select(F.col("item").alias("key"), F.col("item_id").alias("key_id"), "size", "shingles"), BROADCAST_ROWS // 100)
+    shared = texts.join(items_, (texts["item"] == items_["key"]) & texts["found_item"].eqNullSafe(items_["key_id"])).select("doc_id", F.col("found_item").alias("item_id"), "item", F.col("size").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared"))
+    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles")).alias("b"))
+    return best.where(F.col("b.n_shared") >= F.lit(threshold) * F.col("b.n_shingles")).select("doc_id", "item_id", "b.n_shared", "b.n_shingles", "b.containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

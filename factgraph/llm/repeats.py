@@ -34,8 +34,10 @@ from .textkit import BASES, Spans, mix, name_pair
 CHUNK = 1 << 20
 #: Rows of a class that meet in one task at most.
 HOT = 4_000
-#: Low bits of a packed name that hold a place; texts may have up to 2**26 units.
-PLACE = np.uint64(26)
+#: Rows of a context that travel as one list.
+PACKED = 256
+#: Low bits of a packed name that hold a place, and the units of a text that are looked at together: longer texts are looked at in segments.
+PLACE, LONG = np.uint64(26), 1 << 24
 
 
 def pack(names: np.ndarray) -> np.ndarray:
@@ -76,10 +78,11 @@ class Sites:
 class Units:
     """How texts are cut into units.
 
-    ``sites(texts, window)`` gives the anchors, ``cut(text)`` a function (begin, end) -> bytes of a span's units,
-    ``symbols(parts)`` the units of byte strings as (64-bit names, start of each string).
+    ``count(text)`` is their number, ``sites(texts, window)`` gives the anchors, ``cut(text)`` a function (begin, end) -> bytes
+    of a span's units, ``symbols(parts)`` the units of byte strings as (64-bit names, start of each string).
     """
 
+    count: Callable[[bytes], int]
     sites: Callable[[list[bytes], int], Sites]
     cut: Callable[[bytes], Callable[[int, int], bytes]]
     symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -114,14 +117,26 @@ def _rows(texts: list[bytes], units: Units, window: int) -> tuple[np.ndarray, ..
     return text, core, begin - base, length, first - base, last - base
 
 
+def segments(text: bytes, units: Units, window: int) -> Iterator[tuple[int, bytes]]:
+    """(first unit, bytes) of segments that each window of the text lies in one of."""
+    if len(text) <= LONG or (n := units.count(text)) <= LONG:
+        yield 0, text
+        return
+    cut = units.cut(text)
+    for at in range(0, n - window + 1, LONG - window + 1):
+        yield at, cut(at, min(at + LONG, n))
+
+
 def _emit(units: Units, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t.encode("utf-8", "replace") if t else b"" for t in b["text"]]
-            for i, j in common.in_chunks(np.array([len(t) for t in texts]), CHUNK):
-                text, core, begin, length, first, last = _rows(texts[i:j], units, window)
-                if len(text):
-                    yield pd.DataFrame({"core": core.view(np.int64), "id": b["id"].to_numpy()[i + text], "tag": b["tag"].to_numpy()[i + text], "begin": begin, "length": length, "most": begin - first, "least": begin - last})
+            parts = [(r, base, part) for r, t in enumerate(b["text"]) if t for base, part in segments(t.encode("utf-8", "replace"), units, window)]
+            row, base = (np.array([p[k] for p in parts], dtype=np.int64) for k in (0, 1))
+            for i, j in common.in_chunks(np.array([len(p[2]) for p in parts]), CHUNK):
+                part, core, begin, length, first, last = _rows([p[2] for p in parts[i:j]], units, window)
+                if len(part):
+                    of = row[i + part]
+                    yield pd.DataFrame({"core": core.view(np.int64), "id": b["id"].to_numpy()[of], "tag": b["tag"].to_numpy()[of], "begin": begin + base[i + part], "length": length, "most": begin - first, "least": begin - last})
 
     return run
 
@@ -228,9 +243,19 @@ def _named_windows(units: Units, window: int):
     return run
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one context as lists."""
+    for b in common.gathered(batches, 100_000):
+        order = np.argsort(pd.factorize(b["context"])[0], kind="stable")
+        context = b["context"].to_numpy()[order]
+        held = b[["id", "tag", "begin"]].iloc[order].to_dict("records")
+        cut = [0, *(np.flatnonzero(context[1:] != context[:-1]) + 1).tolist(), len(b)]
+        lists = [(context[i], held[i:j]) for lo, hi in zip(cut, cut[1:]) for i in range(lo, hi, PACKED) for j in (min(i + PACKED, hi),)]
+        yield pd.DataFrame(lists, columns=["context", "held"])
+
+
 def _hot_spans(rows: DataFrame, units: Units, window: int, earlier: bool, id_type: str) -> DataFrame:
     """(id, tag, spans) of the rows of hot classes, by way of their contexts."""
-    spark = rows.sparkSession
     sizes = F.encode(F.concat_ws(",", F.octet_length("left"), "most", "least"), "utf-8")
     rows = common.staged(rows.withColumn("context", F.unhex(F.md5(F.concat(sizes, "class", "left", "right")))), "hot")
     low, high = (F.min("id"), F.max("id")) if earlier else (F.lit(0).cast("long"), F.lit(0).cast("long"))
@@ -239,8 +264,7 @@ def _hot_spans(rows: DataFrame, units: Units, window: int, earlier: bool, id_typ
     many = common.staged(contexts.groupBy("class").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("class"), "hot-classes")
     low_type = id_type if earlier else "bigint"
     found_type = f"context binary, most int, least int, low {low_type}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = contexts.join(many, "class", "left_anti").repartition(n, "class").sortWithinPartitions("class")
+    few = contexts.join(many, "class", "left_anti").repartition(common.partitions(rows), "class").sortWithinPartitions("class")
     found = few.mapInPandas(_judge_contexts(units, window, earlier), found_type)
     if not many.isEmpty():
         each = common.staged(contexts.join(many, "class", "left_semi").mapInPandas(_named_windows(units, window), f"a long, c long, context binary, offset int, n long, low {low_type}, high {low_type}"), "windows")
@@ -251,53 +275,63 @@ def _hot_spans(rows: DataFrame, units: Units, window: int, earlier: bool, id_typ
         hit = hit.withColumn("island", island).groupBy("context", "low", "island").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
         found = found.unionByName(hit.select("context", "most", "least", "low"))
     # a context has no more runs than a window has offsets, so they travel to its rows as one list
-    found = found.groupBy("context").agg(F.collect_list(F.struct("most", "least", "low")).alias("runs"))
-    own = rows.select("context", "id", "tag", "begin").join(found, "context")
+    found = common.staged(found.groupBy("context").agg(F.collect_list(F.struct("most", "least", "low")).alias("runs")), "found")
+    # so do its rows, in lists of PACKED at most that a task makes: a passage in all documents costs a row for each task
+    packed = rows.select("context", "id", "tag", "begin").mapInPandas(_pack, f"context binary, held array<struct<id:{id_type},tag:bigint,begin:int>>")
+    own = packed.join(found, "context").repartition(common.partitions(rows)).select("runs", F.explode("held").alias("row")).select("row.*", "runs")
     mine = F.filter("runs", lambda r: F.col("id") > r["low"]) if earlier else F.col("runs")
     spans = F.transform(mine, lambda r: F.struct((F.col("begin") - r["most"]).cast("int").alias("from"), (F.col("begin") - r["least"] + window).cast("int").alias("to")))
     return own.select("id", "tag", spans.alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, units: Units, window: int, earlier: bool) -> DataFrame:
-    """(id, tag, text, spans): every row of ``docs`` (id, tag, text) with the spans that repeated windows cover.
+    """(id, tag, text, copies, spans): every row of ``docs`` (id, tag, text, copies) with the spans that repeated windows cover.
 
     ``earlier``: a window counts as repeated where its content also occurs under a smaller id (rows without an id
     neither repeat nor are repeated); otherwise wherever it occurs at another place, in the same text or another.
     Spans may overlap and count units. (id, tag) names the rows with one text under one id.
     """
-    spark = docs.sparkSession
     id_type = docs.schema["id"].dataType.simpleString()
     judged = docs.where("id is not null") if earlier else docs
-    rows = common.staged(judged.mapInPandas(_emit(units, window), f"core long, id {id_type}, tag int, begin int, length int, most int, least int"), "anchors")
+    rows = common.staged(judged.mapInPandas(_emit(units, window), f"core long, id {id_type}, tag long, begin int, length int, most int, least int"), "anchors")
     met = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n"), *([F.min("id").alias("low"), F.max("id").alias("high")] if earlier else []))
     met = common.staged(met.where("low < high" if earlier else "n > 1").select("core", "n"), "cores")
 
     def sides(cores: DataFrame) -> DataFrame:
         own = rows.join(cores, "core").groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "length", "most", "least")).alias("rows"))
         found = docs.join(own, _same(docs, own)).select(docs["id"], docs["tag"], docs["text"], own["rows"])
-        return found.mapInPandas(_sides(units, window), f"class binary, id {id_type}, tag int, begin int, length int, most int, least int, left binary, right binary")
+        return found.mapInPandas(_sides(units, window), f"class binary, id {id_type}, tag long, begin int, length int, most int, least int, left binary, right binary")
 
-    spans_type = f"id {id_type}, tag int, `from` int, `to` int"
+    spans_type = f"id {id_type}, tag long, `from` int, `to` int"
     few = sides(met.where(F.col("n") <= HOT).select("core"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = few.repartition(n, "class").sortWithinPartitions("class").mapInPandas(_judge(units, window, earlier), spans_type)
+    spans = few.repartition(common.partitions(docs), "class").sortWithinPartitions("class").mapInPandas(_judge(units, window, earlier), spans_type)
     spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     hot = met.where(F.col("n") > HOT)
     if not hot.isEmpty():
         spans = spans.unionByName(_hot_spans(sides(hot.select("core")), units, window, earlier, id_type))
         spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return docs.join(spans, _same(docs, spans), "left").select(docs["id"], docs["tag"], docs["text"], spans["spans"])
+    return docs.join(spans, _same(docs, spans), "left").select(docs["id"], docs["tag"], docs["text"], docs["copies"], spans["spans"])
 
 
 def _same(a: DataFrame, b: DataFrame):
     return a["id"].eqNullSafe(b["id"]) & (a["tag"] == b["tag"])
 
 
-def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tag, text); the tag tells texts apart where ids aren't unique, and is 0 where they are."""
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """((id, tag, text, copies), whether ids are unique): the tag tells texts apart where ids aren't unique, and is 0 where they are; rows that repeat an id and text are one, with their number."""
     slim = common.plain(docs, id=id_col, text=text_col)
-    unique = slim.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    return slim.select("id", (F.lit(0) if unique else F.hash("text")).alias("tag"), "text")
+    if slim.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return slim.select("id", F.lit(0).cast("long").alias("tag"), "text", F.lit(1).cast("long").alias("copies")), True
+    once = slim.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return common.staged(once.select("id", F.xxhash64("text").alias("tag"), "text", "copies"), "texts"), False
+
+
+def to_rows(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, unique: bool) -> DataFrame:
+    """``found`` (id, tag, ...) with one row for each of ``docs`` again."""
+    if unique:
+        return found.drop("tag")
+    rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("own_tag"))
+    return rows.join(found, rows["own_id"].eqNullSafe(found["id"]) & (rows["own_tag"] == found["tag"])).drop("own_id", "own_tag", "tag")
 
 
 def merged(spans) -> list[tuple[int, int]]:

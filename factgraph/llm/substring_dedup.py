@@ -117,7 +117,7 @@ def _symbols(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names, starts
 
 
-WORDS = repeats.Units(sites, _cut, _symbols)
+WORDS = repeats.Units(lambda text: len(text.split()), sites, _cut, _symbols)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,12 +132,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     extra columns are not read.
     """
     common.short_batches(docs.sparkSession)
-    found = repeats.repeated_spans(repeats.tagged(docs, id_col, text_col), WORDS, window, earlier=True)
+    texts, unique = repeats.tagged(docs, id_col, text_col)
+    found = repeats.repeated_spans(texts, WORDS, window, earlier=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for id_, text, spans in zip(b["id"], b["text"], b["spans"]):
+            for id_, tag, text, spans in zip(b["id"], b["tag"], b["text"], b["spans"]):
                 words = (text or "").encode("utf-8", "replace").split()
                 gone = repeats.merged(spans)
                 n, at, kept = len(words), 0, []
@@ -145,8 +146,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                     kept += words[at:i]
                     at = j
                 kept += words[at:]
-                out.append((id_, n, n - len(kept), b" ".join(kept).decode(), [{"from": i, "to": j} for i, j in gone]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                out.append((id_, tag, n, n - len(kept), b" ".join(kept).decode(), [{"from": i, "to": j} for i, j in gone]))
+            yield pd.DataFrame(out, columns=["id", "tag", "n_words", "n_removed", "kept", "spans"])
 
     id_type = found.schema["id"].dataType.simpleString()
-    return found.mapInPandas(run, f"doc_id {id_type}, n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>")
+    judged = found.mapInPandas(run, f"id {id_type}, tag long, n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>")
+    return repeats.to_rows(judged, docs, id_col, text_col, unique).withColumnRenamed("id", "doc_id")

@@ -49,7 +49,7 @@ def _symbols(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return textkit.BYTE_VALUE[np.frombuffer(b"".join(parts), dtype=np.uint8)], starts
 
 
-BYTES = repeats.Units(sites, _cut, _symbols)
+BYTES = repeats.Units(len, sites, _cut, _symbols)
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,21 +64,23 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     result; extra columns are not read.
     """
     common.short_batches(docs.sparkSession)
-    found = repeats.repeated_spans(repeats.tagged(docs, id_col, text_col), BYTES, window, earlier=False)
+    texts, unique = repeats.tagged(docs, id_col, text_col)
+    found = repeats.repeated_spans(texts, BYTES, window, earlier=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for id_, text, spans in zip(b["id"], b["text"], b["spans"]):
+            for id_, tag, text, copies, spans in zip(b["id"], b["tag"], b["text"], b["copies"], b["spans"]):
                 data = (text or "").encode("utf-8", "replace")
-                gone = repeats.merged(spans)
+                gone = [(0, len(data))] if copies > 1 and len(data) >= window else repeats.merged(spans)
                 at, kept = 0, []
                 for i, j in gone:
                     kept.append(data[at:i])
                     at = j
                 kept.append(data[at:])
-                out.append((id_, len(data), sum(j - i for i, j in gone), len(gone), b"".join(kept), [{"from": i, "to": j} for i, j in gone]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+                out.append((id_, tag, len(data), sum(j - i for i, j in gone), len(gone), b"".join(kept), [{"from": i, "to": j} for i, j in gone]))
+            yield pd.DataFrame(out, columns=["id", "tag", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     id_type = found.schema["id"].dataType.simpleString()
-    return found.mapInPandas(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<`from`:int,`to`:int>>")
+    judged = found.mapInPandas(run, f"id {id_type}, tag long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<`from`:int,`to`:int>>")
+    return repeats.to_rows(judged, docs, id_col, text_col, unique).withColumnRenamed("id", "doc_id")
