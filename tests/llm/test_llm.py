@@ -446,6 +446,54 @@ def test_predictive_probabilities_sum_to_one(spark):
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
+def test_log_gamma():
+    x = np.array([0.05, 0.5, 1, 2.5, 30, 1e6])
+    assert np.allclose(language_model.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-8)
+
+
+def test_gibbs_moves_keep_the_posterior_of_a_small_restaurant():
+    # three customers of one dish: t tables have the weight a**t * S(3, t), with S the generalised Stirling numbers
+    d, a, copies = 0.4, 0.7, 20_000
+    x = language_model.Tables(np.full(copies, 3), np.full(copies, 1), d)
+    rng, every = np.random.default_rng(3), np.arange(copies)
+    for _ in range(12):
+        x.room(np.ones(copies, dtype=np.int64))
+        x.leave(every, rng.random(copies))
+        x.join(every, rng.random(copies), np.full(copies, a))
+    weight = np.array([a * (1 - d) * (2 - d), a**2 * 3 * (1 - d), a**3])
+    assert np.abs(np.bincount(x.t.astype(int), minlength=4)[1:] / copies - weight / weight.sum()).max() < 0.015
+    held = np.add.reduceat(x.size, x.start[:-1])
+    assert (held == 3).all() and (x.n == 3).all() and (np.add.reduceat((x.size > 0).astype(int), x.start[:-1]) == x.t).all()
+
+
+def test_many_customers_sit_as_one_after_another():
+    # expected tables by the recurrence over the exact distribution
+    d, a, n, copies = 0.3, 1.4, 400, 3000
+    p = np.zeros(n + 1)
+    p[1] = 1.0
+    for i in range(1, n):
+        opens = np.where(p > 0, a / np.maximum(a + i - d * np.arange(n + 1), 1e-9), 0.0)
+        p = p * (1 - opens) + np.concatenate(([0], (p * opens)[:-1]))
+    key = textkit.mix(np.arange(copies, dtype=np.uint64))
+    got = language_model.seat(np.full(copies, float(n)), np.full(copies, a), d, key, 5)
+    mean = (p * np.arange(n + 1)).sum()
+    spread = math.sqrt((p * np.arange(n + 1) ** 2).sum() - mean**2)
+    assert abs(got.mean() - mean) < 5 * spread / math.sqrt(copies) and abs(got.std() - spread) < 0.1 * spread
+
+
+def test_sweeps_keep_customers_and_tables_in_step(spark):
+    words, model = language_model.train(spark.createDataFrame(lm_rows(), TEXT).select("text"))
+    x = language_model._words(words.toPandas().sort_values("w").reset_index(drop=True), model)
+    seen = set()
+    for k in x.samples():
+        assert (np.bincount(x.pair, weights=x.low.t, minlength=len(x.pair_key)) == x.mid.n).all()
+        assert (np.bincount(x.pair_of, weights=x.mid.t, minlength=len(x.names)) == x.top.n).all()
+        assert (x.low.n == x.n).all() and (x.low.t <= x.low.n).all() and (x.top.t >= 1).all()
+        assert np.allclose(x.numbers(), np.concatenate((model["counts"][2 + k]["t2"], model["counts"][2 + k]["t1"], [model["counts"][2 + k]["t0"]])))
+        seen.add(x.low.t.sum())
+    assert len(seen) > 1
+
+
 def test_language_model_beats_single_tokens(spark):
     got = registered.op8_language_model(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
