@@ -13,6 +13,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: What the state store is set to while a stream runs: on disk, and without setting aside megabytes for each small file.
 STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
+#: What names a text: its digest, and a second one of another kind with the text's length, which texts of earlier calls are told apart by.
+KEY = ["digest", "other"]
+
 
 def normalised(text: Column) -> Column:
     """The text with A-Z lower-cased and nothing else changed; null counts as empty."""
@@ -20,18 +23,18 @@ def normalised(text: Column) -> Column:
 
 
 def _stream(slim: DataFrame, state_dir: str) -> DataFrame:
-    """Feed ``slim`` to the keyed state in ``state_dir`` and return (digest, keep_id, keep_at, group_size) of every digest met so far."""
+    """Feed ``slim`` to the keyed state in ``state_dir`` and return (digest, other, keep_id, keep_at, group_size) of every pair of digests met so far."""
     spark = slim.sparkSession
     inbox, groups = f"{state_dir}/inbox", f"{state_dir}/groups"
     slim.write.mode("append").parquet(inbox)
-    schema = "digest string, keep_id " + slim.schema["id"].dataType.simpleString() + ", keep_at struct<file:string,row:bigint>, group_size long"
+    schema = "digest string, other string, keep_id " + slim.schema["id"].dataType.simpleString() + ", keep_at struct<file:string,row:bigint>, group_size long"
     before = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(slim.schema).parquet(inbox)
-            .groupBy("digest")  # no watermark: state never expires; partial sums before the shuffle take copies of one text apart from their number
+            .groupBy(*KEY)  # no watermark: state never expires; partial sums before the shuffle take copies of one text apart from their number
             .agg(F.max("id").alias("keep_id"), F.max_by("at", "id").alias("keep_at"), F.count(F.lit(1)).alias("group_size"))
         )
         (
@@ -44,7 +47,7 @@ def _stream(slim: DataFrame, state_dir: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # a digest is written anew by each batch that adds to it; counts only grow, so the largest is the last
-    return spark.read.schema(schema).parquet(groups).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max_by("keep_at", "group_size").alias("keep_at"), F.max("group_size").alias("group_size"))
+    return spark.read.schema(schema).parquet(groups).groupBy(*KEY).agg(F.max("keep_id").alias("keep_id"), F.max_by("keep_at", "group_size").alias("keep_at"), F.max("group_size").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, digest=lambda c: F.sha2(c, 256)) -> DataFrame:
@@ -54,10 +57,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id stays. A stream with RocksDB state, keyed by digest and never expiring, keeps for each digest the
     id to keep, the locator of its content (file and row, where the input comes straight from files) and the
     number of rows. Digests that were hit more than once are then checked on the full bytes of their texts, and
-    should one digest stand for different texts, these become groups of their own.
+    should one digest stand for different texts, these become groups of their own. Texts of earlier calls are not at
+    hand any more: from those a text is told apart by two digests of different kinds and its length.
 
     ``state_dir``: a folder whose state is kept between calls, so that later calls dedup against earlier rows
-    (results are for the rows of this call, byte checks within it); None starts with empty state.
+    (results are for the rows of this call); None starts with empty state.
 
     Nulls: a null id is the smallest. Rows that repeat an id and text are one document: each counts in
     group_size, and they share ``kept``. An empty table gives an empty result; extra columns are not read.
@@ -71,20 +75,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
             raise
         located = docs.select(F.col(f"`{id_col}`").alias("id"), normalised(F.col(f"`{text_col}`")).alias("norm"), F.lit(None).cast("struct<file:string,row:bigint>").alias("at"))
-    located = located.withColumn("digest", digest(F.col("norm")))
-    slim = common.staged(located.select("id", "digest", "at"), "digests")
+    located = located.withColumn("digest", digest(F.col("norm"))).withColumn("other", F.concat_ws(":", F.md5("norm"), F.octet_length("norm")))
+    slim = common.staged(located.select("id", *KEY, "at"), "digests")
     groups = common.staged(_stream(slim, state_dir or common.new_dir(spark, "dedup-state")), "groups")
 
     # full bytes: the texts of one digest must be one text. Copies within a task collapse before the shuffle.
-    hit = groups.where("group_size > 1").select("digest")
-    texts = located.select("digest", "norm").join(hit, "digest", "left_semi").groupBy("digest", "norm").agg(F.lit(1).alias("one"))
-    clash = common.staged(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "clashes")
-    result = slim.join(groups, "digest").select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_at")
+    hit = groups.where("group_size > 1").select(*KEY)
+    texts = located.select(*KEY, "norm").join(hit, KEY, "left_semi").groupBy(*KEY, "norm").agg(F.lit(1).alias("one"))
+    clash = common.staged(texts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), "clashes")
+    result = slim.join(groups, KEY).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_at", "other")
     if clash.isEmpty():
-        return result
-    odd = located.join(clash, "digest", "left_semi")
-    exact = odd.groupBy("digest", "norm").agg(F.max("id").alias("keep_id"), F.max_by("at", "id").alias("keep_at"), F.count(F.lit(1)).alias("group_size"))
-    parted = odd.select("id", "digest", "norm").join(exact, ["digest", "norm"]).select(
+        return result.drop("other")
+    odd = located.join(clash, KEY, "left_semi")
+    exact = odd.groupBy(*KEY, "norm").agg(F.max("id").alias("keep_id"), F.max_by("at", "id").alias("keep_at"), F.count(F.lit(1)).alias("group_size"))
+    parted = odd.select("id", *KEY, "norm").join(exact, [*KEY, "norm"]).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_at")
-    return result.join(clash, "digest", "left_anti").select(parted.columns).unionByName(parted)
+    return result.join(clash, KEY, "left_anti").select(parted.columns).unionByName(parted)

@@ -125,8 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     The sampled labels are broadcast to the documents, so no text shuffles. Normal equations are sums over
     partitions: each task adds up its rows' products, Spark adds the tasks', and the driver solves a system of
     fixed size. The calibration part, a few thousand numbers, is pooled on the driver.
-    Rows with a null id, label or a label other than 0 and 1 are left out; of rows that repeat an id all count.
+    Rows with a null id, label or a label other than 0 and 1 are left out; of rows that repeat an id all count. A null
+    text counts as empty.
     """
+    common.short_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("id is not null and y in (0, 1)")
     n = known.count()
     keep = min(1.0, 0.95 * max_train / max(n, 1))

@@ -102,6 +102,29 @@ def test_isotonic():
     assert values.tolist() == [0, 0.5, 1] and knots.tolist() == [1, 2.5, 4]
 
 
+def test_quality_fit_against_plain_sums(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs(spark), labels)
+    drawn = lambda k, n: F.pmod(F.xxhash64("doc_id", F.lit(7 + k)), F.lit(n))
+    rows = docs(spark).join(labels, "doc_id").where(drawn(0, 1_000_000) / 1e6 < 1.0).select("text", "quality", (drawn(1, 1000) < 250).alias("c")).collect()
+    x, y, c = quality.statistics([(r["text"] or "").encode() for r in rows]), np.array([float(r["quality"]) for r in rows]), np.array([r["c"] for r in rows])
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6), -5, 5)
+    z = np.column_stack([np.ones(len(z)), z, np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.wave + model.phase)])
+    p, fit = z.shape[1], ~c
+    # ridge as least squares with rows for the penalty
+    penalty = np.sqrt(quality.RIDGE * fit.sum() / 100 + 1e-9) * np.eye(p)
+    penalty[0, 0] = math.sqrt(1e-9)
+    weight = np.linalg.lstsq(np.vstack([z[fit], penalty]), np.concatenate([y[fit], np.zeros(p)]), rcond=None)[0]
+    assert np.allclose(z @ model.weight, z @ weight, atol=1e-6)
+    # isotonic regression by its formula: the largest over starts of the smallest mean over ends
+    order = np.argsort(z[c] @ weight, kind="stable")
+    v = y[c][order]
+    sums = np.concatenate(([0], np.cumsum(v)))
+    mean = lambda a, b: (sums[b + 1] - sums[a]) / (b + 1 - a)
+    want = [max(min(mean(a, b) for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    assert np.allclose(sorted(set(np.round(want, 9))), np.unique(np.round(model.values, 9)))
+
+
 def test_quality_odd_cases(spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (8, None), (7, 0)], "doc_id long, quality int")
     model = quality.fit(odd(spark), labels)
@@ -213,6 +236,13 @@ def test_exact_dedup_keeps_state(spark):
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in second.collect()} == {(2, 9, 2), (3, 3, 1)}
 
 
+def test_a_digest_that_clashes_with_an_earlier_call(spark):
+    state, length = common.new_dir(spark, "test-state"), lambda c: F.length(c).cast("string")
+    exact_dedup.exact_dedup(spark.createDataFrame([(9, "aa"), (1, "b")], TEXT), state_dir=state, digest=length)
+    second = exact_dedup.exact_dedup(spark.createDataFrame([(2, "bb"), (3, "AA")], TEXT), state_dir=state, digest=length)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in second.collect()} == {(2, 2, 1), (3, 9, 2)}
+
+
 def test_exact_odd_cases(spark):
     assert exact_dedup.exact_dedup(odd(spark)).count() == 10
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
@@ -334,6 +364,45 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(df.limit(0), rules, moved).count() == 0 and url_filter.judge(df, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_url_groups_against_union_find(spark):
+    rng = np.random.default_rng(21)
+    hosts = ["a.net", "b.org", "example.com", "sub.example.com", "example.net", "x.info"]
+    url = lambda i: f"http://{hosts[i % 6]}/{['en', 'de', 'fr', 'p'][i // 6 % 4]}/{i}"
+    n = 400
+    chain = [(i, i + 1) for i in range(120)] + [(121, 300 + k) for k in range(60)]  # a long chain and a hub
+    moved = chain + [(int(a), int(b)) for a, b in rng.integers(121, n, (80, 2))]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in moved:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+    def own(i):
+        host, path = url(i).split("//")[1].split("/", 1)
+        fit = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and ("/" + path).startswith("/" + r.split("/", 1)[1])]
+        return rules[max(fit, key=len)] if fit else None
+
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), set()).add(own(i))
+    want = {i: own(i) or ("allow" if "allow" in groups[find(i)] else "block" if "block" in groups[find(i)] else "allow") for i in range(n)}
+    half = len(moved) // 2  # half of the links are redirects, half canonical links of the pages
+    html = {}
+    for a, b in moved[half:]:
+        html.setdefault(a, []).append(f'<link rel="canonical" href="{url(b)}">')
+    pages = spark.createDataFrame([(i, url(i), "".join(html.get(i, []))) for i in range(n)], "page_id long, url string, html string")
+    redirects = spark.createDataFrame([(url(a), url(b)) for a, b in moved[:half]], "source string, target string")
+    table = url_filter.rules_of(spark, [r for r in rules if rules[r] == "block"], [r for r in rules if rules[r] == "allow"])
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, table, redirects).collect()} == want
+    assert len(set(want.values())) == 2 and sum(own(i) is None and want[i] == "block" for i in range(n)) > 10
+
+
 def test_url_links_of_every_form(spark):
     from urllib.parse import urljoin
 
