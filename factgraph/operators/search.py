@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from ..functions.scores import truthrank
 from ..functions.text import keywords
 from ..functions.vectors import cosine_similarity
 
-#: A search's query table is broadcast up to this many rows; a larger one is matched in as many broadcast parts.
+#: Queries that are matched at a time: a larger table is matched in as many parts.
 QUERIES = 10_000
 #: Fields that phrase and keyword searches look at.
 FIELDS = ("subject", "predicate", "object")
@@ -25,11 +26,15 @@ def _text(facts: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return facts.withColumn("__text", F.lower(F.concat_ws("\u0001", F.concat_ws(" ", "subject", "predicate", "object"), *fields)))
 
 
+def _parts(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about QUERIES rows, by a hash of their id: one part where they are few."""
+    parts = -(-queries.count() // QUERIES) or 1
+    return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k) for k in range(parts)]
+
+
 def _match(queries: DataFrame, facts: DataFrame, condition: Column) -> DataFrame:
-    """A theta join with the small query side broadcast; its size is checked."""
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search them in parts")
-    return facts.join(F.broadcast(queries), condition)
+    """A theta join with the query side broadcast, in parts of a checked size."""
+    return reduce(DataFrame.unionByName, [facts.join(F.broadcast(part), condition) for part in _parts(queries)])
 
 
 def _top(hits: DataFrame, k: int | None) -> DataFrame:
@@ -66,25 +71,32 @@ def search_phrase(queries: DataFrame, facts: DataFrame, k: int = 15) -> DataFram
 def _similar(queries: DataFrame, facts: DataFrame, above: float) -> DataFrame:
     """(query_id, id, similarity) of queries and facts with vectors of one length that are more similar than ``above``.
 
-    The bounded query table becomes one matrix per vector length, and each task multiplies its facts' vectors with it.
+    Each part of the query table becomes one matrix per vector length, and each task multiplies its facts' vectors with it.
     """
-    rows = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("v")).limit(QUERIES + 1).toPandas()
-    if len(rows) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search them in parts")
-    sides = {int(n): (part["query_id"].to_numpy(), _unit(part["v"])) for n, part in rows.groupby(rows["v"].map(len))} if len(rows) else {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for n, part in b.groupby(b["v"].map(len)):
-                if n in sides:
-                    ids, unit = sides[n]
-                    scores = _unit(part["v"]) @ unit.T
-                    i, j = np.nonzero(scores > above)
-                    yield pd.DataFrame({"query_id": ids[j], "id": part["id"].to_numpy()[i], "similarity": scores[i, j]})
-
-    vectors = facts.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v"))
     types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {facts.schema['id'].dataType.simpleString()}, similarity double"
-    return vectors.mapInPandas(run, types)
+    vectors = facts.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def against(part: DataFrame) -> DataFrame:
+        sides = _matrices(part)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for n, rows in b.groupby(b["v"].map(len)):
+                    if n in sides:
+                        ids, unit = sides[n]
+                        scores = _unit(rows["v"]) @ unit.T
+                        i, j = np.nonzero(scores > above)
+                        yield pd.DataFrame({"query_id": ids[j], "id": rows["id"].to_numpy()[i], "similarity": scores[i, j]})
+
+        return vectors.mapInPandas(run, types)
+
+    return reduce(DataFrame.unionByName, [against(part) for part in _parts(queries.where("embedding IS NOT NULL"))])
+
+
+def _matrices(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The ids and unit vectors of a part of the queries, by vector length; its size is bounded by QUERIES."""
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).toPandas()
+    return {int(n): (part["query_id"].to_numpy(), _unit(part["v"])) for n, part in rows.groupby(rows["v"].map(len))} if len(rows) else {}
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -102,13 +114,55 @@ def search_vector(queries: DataFrame, facts: DataFrame, min_sim: float = 0.7, k:
 
 
 def search_hybrid(queries: DataFrame, facts: DataFrame, vector_weight: float = 0.5, min_sim: float = 0.0, k: int = 15) -> DataFrame:
-    """Phrase hits and vector hits, each fact once per query; a missing score is 0; confident facts are boosted."""
-    words = phrase_match(queries, facts, FIELDS).select("query_id", "id", F.col("confidence").alias("__word"))
-    near = _similar(queries, facts, min_sim)
-    both = words.join(near, ["query_id", "id"], "full_outer")
-    mixed = F.coalesce("__word", F.lit(0.0)) * (1 - vector_weight) + F.coalesce("similarity", F.lit(0.0)) * vector_weight
-    hits = both.withColumn("__mixed", mixed).select("query_id", "id", "__mixed").join(facts, "id")
-    return _top(hits.withColumn("relevance", F.round(F.col("__mixed") * F.col("confidence") * truthrank(F.col("confidence")), 6)), k)
+    """Phrase hits and vector hits, each fact once per query; a missing score is 0; confident facts are boosted.
+
+    A fact's vector score, phrase score and boost are all at hand where the fact is, so a task scores its facts against
+    every query and only the best k of each query and batch leave it.
+    """
+    slim = _text(facts).select("id", "subject", "predicate", "object", "confidence", F.col("embedding").cast("array<double>").alias("v"), "__text", truthrank(F.col("confidence")).alias("boost"))
+    id_type = facts.schema["id"].dataType.simpleString()
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, subject string, predicate string, object string, confidence double, relevance double"
+
+    def against(part: DataFrame) -> DataFrame:
+        rows = part.select("query_id", F.lower("query").alias("q"), F.col("embedding").cast("array<double>").alias("v")).toPandas()  # QUERIES rows or so
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            size = lambda vs: np.array([0 if v is None else len(v) for v in vs])
+            of_query = size(rows["v"])
+            words = [q if isinstance(q, str) else None for q in rows["q"]]
+            for b in batches:
+                score = np.zeros((len(b), len(rows)))
+                hit = np.zeros(score.shape, dtype=bool)
+                of_fact = size(b["v"])
+                for n in set(of_fact[of_fact > 0]) & set(of_query[of_query > 0]):
+                    i, j = np.flatnonzero(of_fact == n), np.flatnonzero(of_query == n)
+                    near = _unit(b["v"].iloc[i]) @ _unit(rows["v"].iloc[j]).T
+                    hit[np.ix_(i, j)] = near > min_sim
+                    score[np.ix_(i, j)] = np.where(near > min_sim, near * vector_weight, 0.0)
+                confidence, boost = b["confidence"].to_numpy(dtype=float), b["boost"].to_numpy(dtype=float)
+                texts = b["__text"].tolist()
+                for word in set(words) - {None}:  # queries share words
+                    held = np.fromiter((word in t for t in texts), bool, len(texts))
+                    if held.any():
+                        own = np.flatnonzero(held)
+                        for j in (m for m, w in enumerate(words) if w == word):
+                            hit[own, j] = True
+                            score[own, j] += confidence[own] * (1 - vector_weight)
+                # nulls last in every order; half away from zero at the sixth place is left to Spark
+                score *= (confidence * boost)[:, None]
+                score[~hit] = -np.inf
+                for j in range(len(rows)):
+                    found = np.flatnonzero(hit[:, j])
+                    if k is not None and len(found) > k:
+                        least = np.partition(score[found, j], len(found) - k)[len(found) - k]
+                        found = found[score[found, j] >= least - 1e-6]  # ties after rounding stay
+                    if len(found):
+                        yield b[["id", "subject", "predicate", "object", "confidence"]].iloc[found].assign(query_id=rows["query_id"].iloc[j], relevance=score[found, j])[["query_id", "id", "subject", "predicate", "object", "confidence", "relevance"]]
+
+        return slim.mapInPandas(run, types)
+
+    hits = reduce(DataFrame.unionByName, [against(part) for part in _parts(queries)])
+    return _top(hits.withColumn("relevance", F.round("relevance", 6)), k)
 
 
 def search_hybrid_filtered(queries: DataFrame, facts: DataFrame, vector_weight: float = 0.5, k: int = 15) -> DataFrame:

@@ -24,12 +24,18 @@ def classes(facts: DataFrame) -> DataFrame:
 
 
 def _blocks(facts: DataFrame, reps: DataFrame) -> tuple[DataFrame, int]:
-    """(block, ids, vectors as bytes) of unit vectors, and the number of blocks."""
+    """(block, ids, units) of unit vectors, packed as bytes, and the number of blocks. A block has BLOCK vectors or so."""
     n = reps.count()
     blocks = max(1, math.ceil(n / BLOCK))
     v = facts.select("id", F.col("embedding").cast("array<double>").alias("v")).join(reps.select(F.col("rep").alias("id")), "id")
-    v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return v.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")), blocks
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(rows["v"].to_numpy())
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "ids": [rows["id"].to_numpy(dtype="<i8").tobytes()], "units": [m.astype("<f8").tobytes()]})
+
+    dealt = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, units binary"), blocks
 
 
 def rep_pairs(facts: DataFrame, reps: DataFrame, low: float, high: float, closed: bool = False) -> DataFrame:
@@ -40,18 +46,15 @@ def rep_pairs(facts: DataFrame, reps: DataFrame, low: float, high: float, closed
     """
     blocks, n = _blocks(facts, reps)
     blocks = staged(blocks, "blocks")
-    left = blocks.select(F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("other"), "block", F.col("rows").alias("left"))
-    right = blocks.select(F.col("block").alias("other"), F.col("rows").alias("right"))
-    met = left.join(right, "other").select("block", "other", "left", "right")
-
-    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array([r["v"] for r in rows], dtype=np.float64)
-        return np.array([r["id"] for r in rows]), m / np.linalg.norm(m, axis=1, keepdims=True)
+    left = blocks.select(F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("other"), "block", F.col("ids").alias("a"), F.col("units").alias("x"))
+    right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("b"), F.col("units").alias("y"))
+    met = left.join(right, "other").select("block", "other", "a", "x", "b", "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for same, lr, rr in zip(batch["block"] == batch["other"], batch["left"], batch["right"]):
-                (a, x), (b, y) = unit(lr), unit(rr)
+            for same, *sides in zip(batch["block"] == batch["other"], batch["a"], batch["x"], batch["b"], batch["y"]):
+                a, b = (np.frombuffer(s, dtype="<i8") for s in sides[::2])
+                x, y = (np.frombuffer(s, dtype="<f8").reshape(len(ids), -1) for s, ids in zip(sides[1::2], (a, b)))
                 d = 1.0 - x @ y.T
                 keep = (d >= low - 1e-12) & ((d <= high + 1e-12) if closed else (d < high))
                 if same:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import domain_authority, heuristic_stance, net_confidence, rating_confidence, trust_tier
 from ..functions.text import authority
 
-#: Trusted hosts are a curated list; more rows than this are refused rather than broadcast.
+#: Trusted hosts that are looked for at a time: a longer list is looked for in as many parts.
 HOSTS = 50_000
 
 
@@ -29,10 +29,16 @@ def score_trust(articles: DataFrame, sources: DataFrame, match: str = "substring
         domain = hosts.where(F.contains("host", F.lit("."))).groupBy(two(F.col("host")).alias("d")).agg(F.max_by("score", "position").alias("s"))
         key = F.when(F.contains(authority(F.col("url")), F.lit(".")), two(authority(F.col("url"))))
         return articles.withColumn("d", key).join(domain, "d", "left").withColumn("trust_score", F.coalesce("s", F.lit(0.5))).drop("d", "s")
-    if hosts.limit(HOSTS + 1).count() > HOSTS:
-        raise ValueError(f"more than {HOSTS} hosts: use match='registered_domain'")
-    hits = articles.select("id", "url").join(F.broadcast(hosts), F.contains("url", F.col("host"))).groupBy("id").agg(F.max_by("score", "position").alias("s"))
-    return articles.join(hits, "id", "left").withColumn("trust_score", F.coalesce("s", F.lit(0.5))).drop("s")
+    # the list travels as one row for each part, and a url picks its host within its own row: no pairs, no shuffle of articles
+    parts = -(-hosts.count() // HOSTS) or 1
+    dealt = hosts.withColumn("part", F.pmod(F.xxhash64("host"), F.lit(parts)))
+    out = articles.withColumn("__best", F.lit(None).cast("struct<position:bigint,score:double>"))
+    for k in range(parts):
+        one = dealt.where(F.col("part") == k).agg(F.array_sort(F.collect_list(F.struct((-F.col("position").cast("long")).alias("o"), "score", "host"))).alias("__hosts"))
+        held = F.get(F.filter("__hosts", lambda h: F.contains("url", h["host"])), F.lit(0))  # the last in the list comes first here
+        best = F.when(held.isNotNull(), F.struct((-held["o"]).alias("position"), held["score"].alias("score")))
+        out = out.crossJoin(F.broadcast(one)).withColumn("__best", F.greatest("__best", best)).drop("__hosts")
+    return out.withColumn("trust_score", F.coalesce("__best.score", F.lit(0.5))).drop("__best")
 
 
 def trust_tiers(articles: DataFrame) -> DataFrame:

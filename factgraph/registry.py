@@ -629,6 +629,16 @@ def knn_neighbors(s, d):
     return _round(similarity.knn_neighbors(fx.facts(s, d)))
 
 
+# vectors that differ by fact, so that the work grows with the facts
+_OWN = "own AS (SELECT id, list_transform(embedding, lambda x, i: x + ((id * 31 + i * 17) % 97 - 48) / 2000.0::DOUBLE) AS embedding FROM facts_fx)"
+
+
+@query(f"WITH {_OWN}, " + _knn_sql(0.15)[5:].replace("facts_fx", "own"))
+def knn_own_vectors(s, d):
+    shift = lambda x, i: x + F.pmod(F.col("id") * 31 + (i + 1) * 17, F.lit(97)).cast("double") / 2000 - F.lit(48 / 2000)
+    return _round(similarity.knn_neighbors(fx.facts(s, d).withColumn("embedding", F.transform("embedding", shift))))
+
+
 @query(_knn_sql(0.65))
 def knn_neighbors_wide(s, d):
     return _round(similarity.knn_neighbors(fx.facts(s, d), 0.65))
