@@ -17,6 +17,7 @@ BYTES_PER_BATCH = 8 << 20
 BYTES_PER_TASK, UNKNOWN = 64 << 20, 1 << 60
 
 _OWN_DIR: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/factgraph/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factgraph/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged here, once no result that reads it is needed any more; the number of folders."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

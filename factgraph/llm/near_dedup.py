@@ -169,12 +169,11 @@ def _verify(threshold: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (pivot, digest) that are similar enough: members travel to their pivot, at most GROUP or so at a time."""
-    spark = pairs.sparkSession
     sizes = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     salted = common.staged(pairs.join(sizes, "pivot").select("pivot", "digest", F.expr(f"pmod(xxhash64(digest), cast(ceil(n / {GROUP}) as bigint))").alias("salt")), "pairs")
     wanted = salted.select("pivot", "salt", "digest", F.lit(True).alias("member")).unionByName(
         salted.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("digest"), F.lit(False).alias("member")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = common.partitions(texts)
     rows = wanted.join(texts, "digest").select("pivot", "salt", "member", "digest", "text").repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
     return rows.mapInPandas(_verify(threshold), "a binary, b binary")
 
@@ -240,7 +239,6 @@ def _all_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold
     block. So a few strays in a bucket of a large class cost a pass of the class, and only texts that are truly
     apart cost the square of their number, in rows divided by BLOCK.
     """
-    spark = members.sparkSession
     bucket = ["band", "name"]
     sized = common.staged(members.join(texts.select("digest", F.octet_length("text").alias("bytes")), "digest"), "open")
     by_root = sized.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
@@ -257,7 +255,7 @@ def _all_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold
     passing = placed.select(*bucket, each("blocks").alias("block"), "salt", F.lit(True).alias("passing"), *rest)
     group = [*bucket, "block", "salt"]
     rows = held.unionByName(passing).join(texts.join(nodes.select("digest", "bands"), "digest"), "digest").select(*group, "passing", *rest, "bands", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = common.partitions(texts)
     return rows.repartition(n, *group).sortWithinPartitions(*group, "passing").mapInPandas(_compare(threshold), "a binary, b binary").distinct()
 
 

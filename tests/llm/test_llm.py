@@ -678,3 +678,14 @@ def test_pipeline(spark):
     assert got == want
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs(spark).limit(0), SF).columns == docs(spark).columns
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    clash = odd(spark).withColumns({"__id": F.lit(1), "__digest": F.lit("x"), "__hit": F.lit(1)})
+    for name, want in (("exact_dedup", {3, 4, 5, None, 7, 8}), ("near_dedup", {1, 2, 4, 5, None, 7})):
+        got = dict(p.STAGES)[name](spark, clash, SF)
+        assert got.columns == clash.columns and {r["doc_id"] for r in got.collect()} == want, name
+    assert dict(p.STAGES)["decontamination"](spark, clash, SF).columns == clash.columns
+    assert dict(p.STAGES)["bpe"](spark, clash, SF).count() == 10
