@@ -13,9 +13,9 @@ BROADCAST_DROPPED = 1_000_000
 
 
 def _without(docs: DataFrame, judged: DataFrame, digest: F.Column) -> DataFrame:
-    """The rows of ``docs`` but those that ``judged`` (doc_id, kept, digest) doesn't keep."""
+    """The rows of ``docs``, whatever other columns they have, but those that ``judged`` (doc_id, kept, digest) doesn't keep; a null id is an id like any other."""
     gone = common.staged(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "dropped")
-    return docs.join(common.if_small(gone, BROADCAST_DROPPED), F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    return docs.join(common.if_small(gone, BROADCAST_DROPPED), docs["doc_id"].eqNullSafe(gone["__id"]) & (digest == gone["__digest"]), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
