@@ -32,9 +32,11 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Hashed word counts of unit length; null for a text without words."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("long"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = norm(counts)
-    return F.when(F.size(words) > 0, F.transform(counts, lambda x: (x / length).cast("float")))
+    # bound variables are evaluated once each; an expression used twice would be evaluated for each element
+    counts = F.aggregate(slots, F.array_repeat(F.lit(0.0), dim), lambda acc, s: F.transform(acc, lambda x, i: x + F.when(i == s, 1.0).otherwise(0.0)))
+    sized = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    unit = F.transform(sized, lambda v: F.transform(v["c"], lambda x: (x / v["n"]).cast("float")))
+    return F.when(F.size(words) > 0, F.get(unit, F.lit(0)))
 
 
 def embed(df: DataFrame, text_col: str = "text", model: Batch | None = None, dim: int = 64) -> DataFrame:
