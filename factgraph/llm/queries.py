@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact_dedup, language_model, near_dedup, quality, substring_dedup, suffix_dedup, token_files, url_filter
+from . import bpe, common, decontaminate, exact_dedup, language_model, near_dedup, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -72,6 +72,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _UPPER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLE: dict[str, str] = {
