@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact_dedup, language_model, near_dedup, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from . import bpe, common, decontaminate, exact_dedup, language_model, lexical, near_dedup, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -72,6 +72,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op11_lexical": op11_lexical,
     "op12_simhash": op12_simhash,
 }
 
@@ -135,4 +140,17 @@ ORACLE: dict[str, str] = {
         n AS (SELECT id, count(*) AS n FROM t WHERE side = 'i' GROUP BY id),
         m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM t d JOIN t b ON d.s = b.s AND d.side = 'd' AND b.side = 'i' GROUP BY ALL)
         SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment FROM m JOIN n ON item_id = id WHERE n_shared >= 0.8 * n""",
+    "op11_lexical": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, n_terms AS n, t FROM (
+            SELECT doc_id, len(t)::BIGINT AS n_terms, t FROM (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents)) WHERE n_terms > 0),
+        f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+        g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_all FROM d),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, r, doc_id,
+                     sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))))::BIGINT AS score
+              FROM i JOIN df USING (term) JOIN f USING (term) JOIN d USING (r), g GROUP BY ALL),
+        k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
