@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes in one Arrow batch handed to Python.
+BYTES_PER_BATCH = 8 << 20
+
 _OWN_DIR: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
 
@@ -33,6 +36,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; called by operators that hand wide rows to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete what this application has staged, once no result that reads it is needed any more; the number of folders."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])
