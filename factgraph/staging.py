@@ -56,3 +56,8 @@ def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
     return sorted(int(f[len(name) + 1 :]) for f in found if f.startswith(f"{name}="))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
