@@ -28,8 +28,10 @@ from . import common
 
 #: Tokens in a block, apart from a longer document, which is a block of its own.
 BLOCK_TOKENS = 1 << 20
-#: Pieces that a worker remembers before those not met again go; only speed depends on it.
-REMEMBERED = 600_000
+#: Pieces that a worker remembers, and bytes of them and their ids, before those not met again go, and characters of a piece that is worth it; only speed depends on these.
+REMEMBERED, REMEMBERED_BYTES, PIECE = 600_000, 64 << 20, 64
+#: Texts that show whether a file cuts and lower-cases as the pieces here rely on.
+PROBES = ("Hello, World! (x)  y\tz\nÀÉ'n.", "don't STOP-now... a_b", "  leads and trails  ", "ÿÖ12 x9, 漢字 🙂", "a\u00a0b\u2003c \x01 d", "UPPER lower Ünï, über-all; naïve.", "")
 #: A control character: between spaces it is a piece of its own, whose id no piece without it has.
 PARTING = "\x01"
 #: For each control byte, the lengths of its four codes.
@@ -39,7 +41,7 @@ ROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int
 
 
 class Encoder:
-    """The library's ids of texts. The file drops white space, and no merge crosses it, so pieces between spaces, tabs and newlines are encoded once and remembered."""
+    """The library's ids of texts. Where a file drops white space and no merge crosses it, pieces between spaces, tabs and newlines are encoded once and remembered; texts of other files are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -50,11 +52,15 @@ class Encoder:
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         alone = self.library.encode(PARTING, add_special_tokens=False).ids
         self.parting = alone[0] if len(alone) == 1 else None
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.in_pieces = True
+        ids, n = self.ids(pa.array(PROBES), None)
+        self.in_pieces = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in self.library.encode_batch_fast(list(PROBES), add_special_tokens=False)]
 
     def ids(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); null counts as empty.
@@ -65,6 +71,9 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         plain = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+        if not self.in_pieces:
+            each = [np.array(self.library.encode(t, add_special_tokens=False).ids + ([] if end is None else [end]), dtype=np.uint32) for t in plain.to_pylist()]
+            return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
         parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, "\t", " "), "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
         table = self.lookup(coded.dictionary.to_pylist())
@@ -84,11 +93,12 @@ class Encoder:
         return out, n + 1
 
     def lookup(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
         known, old = self.known, self.old
         known.update((p, old[p]) for p in pieces if p not in known and p in old)
-        parted = {p: _parted(p) for p in pieces if p not in known}
+        long = {p: self.encoded(p) for p in pieces if len(p) > PIECE}
+        parted = {p: _parted(p) for p in pieces if p not in known and p not in long}
         words = list({parts[0] for parts in parted.values() if parts and parts[0] not in known})
         other = list({x for p, parts in parted.items() for x in (parts[1:] if parts else (p,)) if x not in known})
         for at in range(0, len(words), 20_000):
@@ -98,7 +108,12 @@ class Encoder:
         for p, parts in parted.items():
             if parts:
                 known[p] = known[parts[0]] + known[parts[1]]
-        return [known[p] for p in pieces]
+        self.held += sum(len(p) + len(known[p]) for p in parted)
+        return [long[p] if p in long else known[p] for p in pieces]
+
+    def encoded(self, piece: str) -> bytes:
+        """The ids of one piece, not remembered."""
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn_words(self, words: list[str]) -> None:
         """Encode words of letters in one call: each gives at least one piece, so where as many pieces end as there are words, each word is one."""
