@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,49 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, new_dir, staged  # noqa: F401  what the operators take from here
+
 #: Bytes in one Arrow batch handed to Python. Texts may be very long, so batches are bounded by size.
 BYTES_PER_BATCH = 8 << 20
 #: Bytes of input (as stored) for each part that rows with texts are dealt into, and from where on a plan's size stands for "not known".
 BYTES_PER_TASK, UNKNOWN = 64 << 20, 1 << 60
 
-_OWN_DIR: dict[str, str] = {}
-_MADE: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one is made only where it is unset and all work is done on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"file://{_OWN_DIR[app]}"
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/factgraph/{label}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def drop_staged(spark: SparkSession) -> int:
-    """Delete what this application has staged here, once no result that reads it is needed any more; the number of folders."""
-    made = _MADE.pop(spark.sparkContext.applicationId, [])
-    for path in made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(made)
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short enough for very long texts; called by every operator that hands texts to Python."""

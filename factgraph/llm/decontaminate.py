@@ -4,8 +4,9 @@ An item's MinHash signature is its least shingle hashes, as many as an item of i
 threshold of 0.8 a fifth of them and one. A document that holds enough of the item holds one of these at least, so the
 search loses nothing, however short the item and long the document. Documents are partitioned by size: class c has
 those of 2**c to 2**(c+1) - 1 shingles, and an item is searched for only in classes that can hold enough of it.
-Documents that hold a signature hash are candidates; only their texts are read again, and each is verified by the exact
-containment of the item's shingles, as words and not as hashes.
+Documents that hold a signature hash are candidates; only their texts are read again, each cut into its shingles once
+however many items it may hold, and items are verified by the exact containment of their shingles, as words and not as
+hashes.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
-#: Signature hashes and candidates are broadcast only up to this number of rows (about 100 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Signature hashes and candidates are broadcast only up to this number of rows (about 100 MB), items' shingles up to as many bytes; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 100_000_000
 
 
 def words(text: Column) -> Column:
@@ -64,22 +65,24 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     known = common.staged(signatures(items, threshold, item_id_col, item_text_col), "items").where("size > 0")
     probes = common.staged(known.select("item_id", "item", "least_class", F.explode("signature").alias("h")), "signatures")
     # a projection at a time, and no filter on what it makes (explode, unlike explode_outer, adds one): either would evaluate an expression once for each use
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("w"))
-    hashed = own.select("doc_id", shingles(F.col("w")).alias("hashes"))
-    sized = hashed.select("doc_id", "hashes", size_class(F.size("hashes")).alias("c"))
-    each = sized.select("doc_id", "c", F.explode_outer("hashes").alias("h"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"), words(F.col(f"`{text_col}`")).alias("w"))
+    hashed = own.select("key", shingles(F.col("w")).alias("hashes"))
+    sized = hashed.select("key", "hashes", size_class(F.size("hashes")).alias("c"))
+    each = sized.select("key", "c", F.explode_outer("hashes").alias("h"))
     met = each.join(common.if_small(probes, BROADCAST_ROWS), "h").where("coalesce(c, 0) >= least_class")  # coalesce: of a bare column Spark would infer a filter below
-    found = common.staged(met.select("doc_id", "item_id", "item").distinct(), "candidates")
-
-    held = found.withColumnsRenamed({"doc_id": "found_in", "item_id": "found_item"})
-    texts = own.join(common.if_small(held, BROADCAST_ROWS), own["doc_id"].eqNullSafe(held["found_in"])).select("doc_id", "found_item", "item", shingle_texts(F.col("w")).alias("own"))
-    items_ = common.if_small(known.select(F.col("item").alias("key"), F.col("item_id").alias("key_id"), "size", "shingles"), BROADCAST_ROWS // 100)
-    shared = texts.join(items_, (texts["item"] == items_["key"]) & texts["found_item"].eqNullSafe(items_["key_id"])).select("doc_id", F.col("found_item").alias("item_id"), "item", F.col("size").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared"))
+    found = common.staged(met.select("key").distinct(), "candidates")
+
+    # a candidate's key is a hash of its text: that another text may have it too costs a look at that text, no more
+    texts = own.join(common.if_small(found, BROADCAST_ROWS), "key", "left_semi").select("doc_id", "key", F.explode(shingle_texts(F.col("w"))).alias("s"))
+    parts = known.select("item_id", "item", F.col("size").cast("long").alias("n_shingles"), F.explode("shingles").alias("s"))
+    few = (known.agg(F.sum(F.length(F.array_join("shingles", "")) + 64 * F.col("size"))).first()[0] or 0) <= BROADCAST_BYTES
+    held = texts.join(F.broadcast(parts) if few else parts, "s")
+    shared = held.select("doc_id", "key", "item_id", "item", "n_shingles", "s").distinct().groupBy("doc_id", "key", "item_id", "item", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
     best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles")).alias("b"))
     return best.where(F.col("b.n_shared") >= F.lit(threshold) * F.col("b.n_shingles")).select("doc_id", "item_id", "b.n_shared", "b.n_shingles", "b.containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no item; rows with a null id stay only if none of them holds one."""
+    """The documents, with all their columns, that hold no item; rows with a null id stay only if none of them holds one. Without items all stay; an empty table stays empty."""
     hit = common.staged(contaminated(docs, items, threshold, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
     return docs.join(common.if_small(hit, BROADCAST_ROWS), docs[id_col].eqNullSafe(hit["__hit"]), "left_anti")

@@ -1,12 +1,11 @@
-"""Substring deduplication over bytes by prefix-free parsing.
-
-A Karp-Rabin hash rolls over every text. A position triggers, and so ends a phrase, where its hash is the smallest of
-some window; every window of 400 bytes holds the trigger that it chose, and equal windows choose the same one.
-The text is thus parsed into phrases that overlap by the rolling window, so that no phrase is a proper prefix of
-another, and equal texts have equal parses. The suffix order is needed only to a depth of one window: the suffixes
-that share the phrases after (or before) a trigger form a class, and within a class suffixes are told apart by the
-rest of the phrase to the left and by what follows to the right; see ``repeats``. README says where this departs
-from a full suffix array.
+"""Substring deduplication over bytes by anchors of a rolling hash.
+
+A hash rolls over every text, and each window of 400 bytes takes the position of its least hash as its anchor: equal
+windows take the same one, and neighbouring windows mostly share theirs. Windows whose bytes around the anchor are equal
+form a class, and within a class they are told apart by what lies to the left and to the right; see ``repeats``.
+
+Prefix-free parsing goes on from such triggers to a dictionary of phrases, a parse and their suffix arrays. That part
+is not here: README says why.
 """
 
 from __future__ import annotations

@@ -243,6 +243,44 @@ def test_a_digest_that_clashes_with_an_earlier_call(spark):
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in second.collect()} == {(2, 2, 1), (3, 9, 2)}
 
 
+@pytest.mark.parametrize("broken", ["before the stream", "inside a batch"])
+def test_a_call_that_failed_counts_once(spark, monkeypatch, broken):
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql.streaming import DataStreamWriter
+
+    state = common.new_dir(spark, "test-state")
+    first, second = spark.createDataFrame([(9, "a"), (1, "b"), (1, "b")], TEXT), spark.createDataFrame([(2, "A"), (3, "c")], TEXT)
+    exact_dedup.exact_dedup(first, state_dir=state)
+
+    def fail(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if broken == "before the stream":
+            m.setattr(DataStreamWriter, "start", fail)
+        else:
+            whole = DataFrameWriter.parquet
+            m.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: fail() if "/groups/batch=" in path else whole(self, path, *a, **b))
+        with pytest.raises(Exception, match="lost"):
+            exact_dedup.exact_dedup(second, state_dir=state)
+    other = exact_dedup.exact_dedup(spark.createDataFrame([(4, "b")], TEXT), state_dir=state)
+    assert [(r["keep_id"], r["group_size"]) for r in other.collect()] == [(4, 3)]
+    again = exact_dedup.exact_dedup(second, state_dir=state)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in again.collect()} == {(2, 9, 2), (3, 3, 1)}
+    named = exact_dedup.exact_dedup(second, state_dir=state, call="once more")
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in named.collect()} == {(2, 9, 3), (3, 3, 2)}
+
+
+def test_bytes_of_earlier_texts_are_read_at_their_locators(spark, monkeypatch):
+    """Two texts with the same digests in different calls are told apart by the earlier text's bytes."""
+    monkeypatch.setattr(exact_dedup, "_other", lambda norm: F.lit("same"))
+    state, length = common.new_dir(spark, "test-state"), lambda c: F.length(c).cast("string")
+    calls = [common.staged(spark.createDataFrame(rows, TEXT), "calls") for rows in ([(9, "aa"), (5, "Aa"), (1, "b")], [(20, "bb"), (3, "AA"), (21, "bb"), (2, "B")])]
+    exact_dedup.exact_dedup(calls[0], state_dir=state, digest=length)
+    got = exact_dedup.exact_dedup(calls[1], state_dir=state, digest=length)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()} == {(20, 21, 2, False), (21, 21, 2, True), (3, 9, 3, False), (2, 2, 2, True)}
+
+
 def test_exact_odd_cases(spark):
     assert exact_dedup.exact_dedup(odd(spark)).count() == 10
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
@@ -449,6 +487,28 @@ def test_token_codes():
         assert (token_files.unpack(*token_files.pack(ids), len(ids)) == ids).all()
 
 
+def test_texts_without_spaces_are_not_remembered(spark):
+    encoder = token_files.Encoder(registered.vocabulary("word_bpe_49k.json"))
+    import pyarrow as pa
+
+    texts = ["漢字かな" * 40_000, "abcdefgh" * 30_000, "A" * 100 + ", " + "b" * 65, None]
+    ids, n = encoder.ids(pa.array(texts), 2)
+    want = [encoder.library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [x for e in want for x in e] and n.tolist() == [len(e) for e in want]
+    assert sum(map(len, encoder.known)) < 1000
+
+
+def test_files_of_another_kind_are_encoded_whole(spark):
+    import pyarrow as pa
+
+    assert token_files.Encoder(registered.vocabulary("word_bpe_49k.json")).in_pieces
+    encoder = token_files.Encoder(registered.vocabulary("byte_bpe_50k.json"))
+    assert not encoder.in_pieces
+    texts = ["Two  spaces, here\n\nand THERE", "", None, "x"]
+    ids, n = encoder.ids(pa.array(texts), 7)
+    assert ids.tolist() == [x for t in texts for x in [*encoder.library.encode(t or "", add_special_tokens=False).ids, 7]]
+
+
 def test_token_odd_cases(spark):
     for df, n in ((odd(spark), 10), (empty(spark), 0)):
         path = common.new_dir(spark, "test-tokens")
@@ -628,6 +688,25 @@ def test_decontamination_odd_cases(spark):
     assert {r["doc_id"] for r in decontaminate.clean(odd(spark), items).collect()} == {2, 3, 4, 5, 7}
 
 
+def test_many_items_in_one_text(spark):
+    """Every item of a text is found, rows that repeat an id or have none keep their own counts, and a text is cut into shingles once for all items."""
+    rng = np.random.default_rng(8)
+    w = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
+    items = [(k, " ".join(w[5 * k : 5 * k + 12])) for k in range(400)]
+    long, half = " ".join(w), " ".join(w[:1000])
+    rows = [(1, long), (1, long), (2, half), (2, " ".join(w[1000:])), (None, half), (None, long), (3, "nothing of that kind in here")]
+    d, i = spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in decontaminate.contaminated(d, i).collect()}
+    shingled = lambda t: {" ".join(t.split()[a : a + 5]) for a in range(max(len(t.split()) - 4, 1))}
+    want = {}
+    for doc, text in rows:
+        own = shingled(text)
+        for k, t in items:
+            if (n := len(own & shingled(t))) >= 0.8 * len(shingled(t)):
+                want[doc, k] = max(n, want.get((doc, k), 0))
+    assert got == want and len(got) > 1000
+
+
 def test_decontamination_runs_no_python(spark):
     plan = decontaminate.contaminated(docs(spark), spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
