@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import domain_authority, heuristic_stance, net_confidence, rating_confidence, trust_tier
 from ..functions.text import authority
 
-#: Trusted hosts that are looked for at a time: a longer list is looked for in as many parts.
-HOSTS = 50_000
+#: Trusted hosts that are looked for at a time (some 10 MB that travel with each task): a longer list is looked for in as many parts.
+HOSTS = 200_000
 
 
 def domain_score_map(sources: DataFrame) -> DataFrame:
@@ -29,18 +33,38 @@ def score_trust(articles: DataFrame, sources: DataFrame, match: str = "substring
         domain = hosts.where(F.contains("host", F.lit("."))).groupBy(two(F.col("host")).alias("d")).agg(F.max_by("score", "position").alias("s"))
         key = F.when(F.contains(authority(F.col("url")), F.lit(".")), two(authority(F.col("url"))))
         return articles.withColumn("d", key).join(domain, "d", "left").withColumn("trust_score", F.coalesce("s", F.lit(0.5))).drop("d", "s")
-    # the list travels as one row for each part, and a url picks its host within its own row: no pairs, no shuffle of articles
     parts = -(-hosts.count() // HOSTS) or 1
     dealt = hosts.withColumn("part", F.pmod(F.xxhash64("host"), F.lit(parts)))
-    out = articles.withColumn("__best", F.lit(None).cast("struct<position:bigint,score:double>"))
+    out = articles.withColumn("__best", F.lit(None).cast(_BEST))
     for k in range(parts):
-        one = dealt.where(F.col("part") == k).agg(F.array_sort(F.collect_list(F.struct((-F.col("position").cast("long")).alias("o"), "score", "host"))).alias("__hosts"))
-        held = F.get(F.filter("__hosts", lambda h: F.contains("url", h["host"])), F.lit(0))  # the last in the list comes first here
-        best = F.when(held.isNotNull(), F.struct((-held["o"]).alias("position"), held["score"].alias("score")))
-        out = out.crossJoin(F.broadcast(one)).withColumn("__best", F.greatest("__best", best)).drop("__hosts")
+        rows = dealt.where(F.col("part") == k).select("host", "position", "score").collect()  # HOSTS rows or so
+        out = out.withColumn("__found", _last_host([tuple(r) for r in rows])("url"))
+        out = out.withColumn("__best", F.greatest("__best", F.when(F.col("__found.position").isNotNull(), F.col("__found")))).drop("__found")
     return out.withColumn("trust_score", F.coalesce("__best.score", F.lit(0.5))).drop("__best")
 
 
+_BEST = "struct<position:bigint,score:double>"
+
+
+def _last_host(hosts: list[tuple[str, int, float]]):
+    """A function of urls: position and score of the last of the hosts in the list that a url holds, null where it holds none.
+
+    Each task makes one automaton of all hosts and walks it once along every url, so its time is that of the urls' length.
+    """
+
+    def run(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for host, position, score in hosts:
+            automaton.add_word(host, (position, score))
+        if len(automaton):
+            automaton.make_automaton()
+        for part in urls:
+            found = [max((best for _, best in automaton.iter(url)), default=(None, None)) if isinstance(url, str) and len(automaton) else (None, None) for url in part]
+            yield pd.DataFrame(found, columns=["position", "score"]).astype({"position": "Int64", "score": "float64"})
+
+    return F.pandas_udf(_BEST)(run)
+
+
 def trust_tiers(articles: DataFrame) -> DataFrame:
     return articles.groupBy(trust_tier(F.col("trust_score")).alias("trust_tier")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("trust_tier"))
 
