@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -928,11 +927,11 @@ def stream_new_vs_baseline(s, d):
     SELECT count(*) FILTER (event_id % 2 = 0 OR window_end > mark) AS on_time, count(*) FILTER (event_id % 2 = 1 AND window_end <= mark) AS late FROM m, b""")
 def late_data(s, d):
     e = fx.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = staging.new_dir(s, "arrivals")
+    arrivals, folder = staging.new_dir(s, "arrivals"), staging.new_dir(s, "late")
     for part in (0, 1):  # the second half arrives after the whole first half
-        e.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)  # files are taken in the order of their times, which some stores round to seconds
-    return streams.late_rows(streams.read_files(s, f"{path}/*.parquet", e.schema, 1), "ts", "30 minutes", "1 hour").select("on_time", "late")
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(arrivals)
+        found = streams.late_rows(streams.read_files(s, f"{arrivals}/*.parquet", e.schema), "ts", "30 minutes", "1 hour", folder)
+    return found.agg(F.sum("counted").alias("on_time"), F.sum(F.col("arrived") - F.col("counted")).alias("late"))
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")

@@ -45,11 +45,16 @@ def drop_staged(spark: SparkSession) -> int:
     """Delete what this application has staged, once no result that reads it is needed any more; the number of folders."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])
     for path in made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        drop(spark, path)
     return len(made)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     """The numbers n of the folders ``<name>=n`` in ``path``, in order."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
