@@ -42,23 +42,11 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], replace: lis
 
 
 def insert_counters(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column], by: str) -> DataFrame:
-    """(by, found, inserted, skipped): per feed the incoming rows, those that an insert adds and those that it ignores."""
+    """(by, found, inserted, known): per feed the incoming rows, those that an insert adds and those whose key is there already."""
     found = incoming.groupBy(by).agg(F.count(F.lit(1)).alias("found"))
     added = new_rows(target, incoming, keys, order).groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0)).alias("inserted")
-    return found.join(added, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "found", n, (F.col("found") - F.coalesce("n", F.lit(0))).alias("skipped"))
-
-
-def dedup_counters(judged: DataFrame) -> DataFrame:
-    """(new, duplicate): facts that a deduplication (id, kept) keeps and drops."""
-    return judged.agg(F.count_if("kept").alias("new"), F.count_if(~F.col("kept")).alias("duplicate"))
-
-
-def contradiction_counters(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(found, new, updated): contradicting pairs, and how many of them were not known and known before."""
-    old = known.select("fact1_id", "fact2_id").distinct().withColumn("__old", F.lit(True))
-    each = found.select("fact1_id", "fact2_id").join(old, ["fact1_id", "fact2_id"], "left")
-    return each.agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("__old").isNull()).alias("new"), F.count_if("__old").alias("updated"))
+    return found.join(added, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "found", n, (F.col("found") - F.coalesce("n", F.lit(0))).alias("known"))
 
 
 def upsert_articles(target: DataFrame, incoming: DataFrame) -> DataFrame:

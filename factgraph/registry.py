@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from . import staging
 from .functions import scores, shapes, text, vectors
-from .operators import contradictions, gates, graph, hooks, provenance, search, similarity, tables, trust
+from .operators import contradictions, counters, gates, graph, hooks, provenance, search, similarity, tables, trust
 from .plans import consistency, publish
 from .sources import readers
 from .streaming import streams
@@ -959,21 +959,38 @@ def run_counters(s, d):
     return fx.articles(s, d).groupBy("ingestion_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("processed_at").isNull()).alias("waiting"))
 
 
-@query("SELECT ingestion_source, count(*) AS found, count(*) FILTER (id % 2 = 1) AS inserted, count(*) FILTER (id % 2 = 0) AS skipped FROM articles_fx GROUP BY 1")
+@query("SELECT ingestion_source, count(*) AS found, count(*) FILTER (id % 2 = 1) AS inserted, count(*) FILTER (id % 2 = 0) AS known FROM articles_fx GROUP BY 1")
 def insert_counters(s, d):
     a = fx.articles(s, d).select("id", "url", "ingestion_source")
     return tables.insert_counters(a.where("id % 2 = 0"), a, ["url"], [F.col("id")], "ingestion_source")
 
 
+# a dump made of all pages: some lines are cut short, some have few mentions, some no address, some urls come twice
+@query("""WITH l AS (SELECT page_id, CASE WHEN page_id % 13 = 5 THEN NULL ELSE page_id % 23 END AS mentions, CASE WHEN page_id % 17 = 3 THEN 'BBC' ELSE 'http://e.example/' || (page_id // 2) END AS url, page_id % 11 = 7 AS short FROM pages),
+    k AS (SELECT *, CASE WHEN short OR mentions IS NULL THEN 'malformed' WHEN mentions < 10 THEN 'skipped' WHEN NOT starts_with(url, 'http') THEN 'other' ELSE 'accepted' END AS kind FROM l),
+    t AS (SELECT DISTINCT 'http://e.example/' || page_id AS url FROM pages WHERE page_id % 3 = 0), i AS (SELECT count(DISTINCT url) AS inserted FROM k WHERE kind = 'accepted' AND url NOT IN (SELECT url FROM t))
+    SELECT count(*) AS read, count(*) FILTER (kind = 'malformed') AS malformed, count(*) FILTER (kind = 'skipped') AS skipped, count(*) FILTER (kind = 'other') AS other,
+    any_value(inserted) AS inserted, count(*) FILTER (kind = 'accepted') - any_value(inserted) AS known FROM k, i""")
+def ingest_counters(s, d):
+    pages, folder = fx.table(s, d, "pages").select("page_id"), staging.new_dir(s, "events")
+    mentions = F.expr("IF(page_id % 13 = 5, 'none', string(page_id % 23))")
+    url = F.expr("IF(page_id % 17 = 3, 'BBC', concat('http://e.example/', page_id div 2))")
+    fields = F.concat(F.array_repeat(F.lit("x"), 31), F.array(mentions), F.when(F.expr("page_id % 11 = 7"), F.array().cast("array<string>")).otherwise(F.array_repeat(F.lit("y"), 20)), F.array(url))
+    pages.select(F.array_join(fields, "\t").alias("value")).write.text(f"{folder}/dump")
+    target = pages.where("page_id % 3 = 0").select(F.concat(F.lit("http://e.example/"), "page_id").alias("url"))
+    return counters.one_row(s, counters.ingest_event_dump(s, f"{folder}/dump", target, folder))
+
+
 @query("SELECT count(DISTINCT embedding) AS new, count(*) - count(DISTINCT embedding) AS duplicate FROM facts_fx")
 def dedup_counters(s, d):
-    return tables.dedup_counters(similarity.dedup_facts(fx.facts(s, d), 1e-6))
+    f = fx.facts(s, d)
+    return counters.one_row(s, counters.write_deduplicated(f, similarity.dedup_facts(f, 1e-6), staging.new_dir(s, "facts")))
 
 
 @query("SELECT count(*) AS found, count(*) FILTER (src % 20 <> 0) AS new, count(*) FILTER (src % 20 = 0) AS updated FROM edges_fx WHERE type = 'CONTRADICTS'")
 def contradiction_counters(s, d):
     e = fx.edges(s, d).where("type = 'CONTRADICTS'").selectExpr("src AS fact1_id", "dst AS fact2_id")
-    return tables.contradiction_counters(e, e.where("fact1_id % 20 = 0"))
+    return counters.one_row(s, counters.write_contradictions(e, e.where("fact1_id % 20 = 0"), staging.new_dir(s, "pairs")))
 
 
 @query("SELECT id, subject, predicate, object, confidence FROM facts_fx ORDER BY confidence DESC, id LIMIT 20")

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 
 
-def read_event_dump(spark: SparkSession, path: str, min_mentions: int = 10) -> DataFrame:
-    """(url, mentions) of tab-separated event rows with at least 50 fields, enough mentions (field 31) and an http url (last field)."""
+def event_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(n, mentions, url) of every line of a tab-separated event dump: its number of fields, field 31 as a number, and its last field."""
     cols = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.size(cols).alias("n"), F.expr("try_cast(get(split(value, '\t'), 31) AS INT)").alias("mentions"), F.element_at(cols, -1).alias("url"))
-    return rows.where((F.col("n") >= 50) & (F.col("mentions") >= min_mentions) & F.startswith("url", F.lit("http"))).select("url", "mentions")
+    return spark.read.text(path).select(F.size(cols).alias("n"), F.expr("try_cast(get(split(value, '\t'), 31) AS INT)").alias("mentions"), F.element_at(cols, -1).alias("url"))
+
+
+def read_event_dump(spark: SparkSession, path: str, min_mentions: int = 10) -> DataFrame:
+    """(url, mentions) of event rows with at least 50 fields, enough mentions and an http url. ``counters.ingest_event_dump`` counts the others, too."""
+    return event_rows(spark, path).where((F.col("n") >= 50) & (F.col("mentions") >= min_mentions) & F.startswith("url", F.lit("http"))).select("url", "mentions")
 
 
 def read_feed_items(spark: SparkSession, path: str, source_name: str, now: str) -> DataFrame:
