@@ -580,33 +580,64 @@ def test_log_gamma():
     assert np.allclose(language_model.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-8)
 
 
-def test_gibbs_moves_keep_the_posterior_of_a_small_restaurant():
-    # three customers of one dish: t tables have the weight a**t * S(3, t), with S the generalised Stirling numbers
-    d, a, copies = 0.4, 0.7, 20_000
-    x = language_model.Tables(np.full(copies, 3), np.full(copies, 1), d)
-    rng, every = np.random.default_rng(3), np.arange(copies)
-    for _ in range(12):
-        x.room(np.ones(copies, dtype=np.int64))
-        x.leave(every, rng.random(copies))
-        x.join(every, rng.random(copies), np.full(copies, a))
-    weight = np.array([a * (1 - d) * (2 - d), a**2 * 3 * (1 - d), a**3])
-    assert np.abs(np.bincount(x.t.astype(int), minlength=4)[1:] / copies - weight / weight.sum()).max() < 0.015
-    held = np.add.reduceat(x.size, x.start[:-1])
-    assert (held == 3).all() and (x.n == 3).all() and (np.add.reduceat((x.size > 0).astype(int), x.start[:-1]) == x.t).all()
+def stirling(n, d):
+    """The ways to sit at t tables, with the tables' discounts: S(n, t) for t from 0 to n."""
+    row = np.array([1.0])
+    for k in range(n):
+        row = np.concatenate((row, [0.0])) * np.maximum(k - d * np.arange(len(row) + 1), 0) + np.concatenate(([0.0], row))
+    return row
+
+
+@pytest.mark.parametrize(("others", "p", "gain"), [(0.7, 0.5, 0.0), (3.0, 0.02, 0.01), (40.0, 0.3, 0.2)])
+def test_redrawn_tables_have_their_exact_distribution(others, p, gain):
+    n, d, copies = 7, 0.4, 40_000
+    full = lambda x: np.full(copies, float(x))
+    t = language_model.redraw(full(n), d, full(others), full(p), full(gain), textkit.mix(np.arange(copies, dtype=np.uint64)), 5)
+    number = stirling(n, d)
+    weight = np.array([number[k] * math.prod((others + d * j) * (p + gain * j) for j in range(1, k)) for k in range(1, n + 1)])
+    assert np.abs(np.bincount(t.astype(int), minlength=n + 1)[1:] / copies - weight / weight.sum()).max() < 0.01
+
+
+def test_three_levels_against_enumeration():
+    """One dish in two restaurants of one parent: the sampler's mean numbers of tables are those over all seatings at three levels."""
+    n, d, s, copies = (4, 6), (0.5, 0.4, 0.6), (1.2, 0.8, 1.5), 4000
+    size = language_model.CHILDREN
+    c = {"n2": np.full(size, 5000.0), "t2": np.full(size, 2000.0), "n1": np.full(language_model.PARENTS, 3000.0), "t1": np.full(language_model.PARENTS, 1200.0), "n0": 2500.0, "t0": 1000.0}
+    model = {"counts": [c, c], "strength": s, "discount": d, "first_discount": d, "base": 0.05}
+    weights = {}
+    for a in range(1, n[0] + 1):
+        for b in range(1, n[1] + 1):
+            for m in range(1, a + b + 1):
+                for t in range(1, m + 1):
+                    rise = lambda level, total, own, k: math.prod(s[level] + d[level] * (total - own + j) for j in range(k))
+                    w = stirling(n[0], d[2])[a] * stirling(n[1], d[2])[b] * rise(2, 2000, a, a) * rise(2, 2000, b, b)
+                    w *= stirling(a + b, d[1])[m] * rise(1, 1200, m, m) / (s[1] + 3000) ** (a + b)
+                    weights[a, b, m, t] = w * stirling(m, d[0])[t] * rise(0, 1000, t, t) * 0.05**t / (s[0] + 2500) ** m
+    total = sum(weights.values())
+    want = [sum(w * k[i] for k, w in weights.items()) / total for i in range(4)]
+    x = language_model.Words(np.repeat(np.arange(copies), 2), np.tile([3, 5], copies), np.tile(n, copies), textkit.mix(np.arange(copies, dtype=np.uint64)), model)
+    got = np.zeros(4)
+    for k in range(40):
+        x.sweep(k)
+        got += np.array([x.t2[::2].mean(), x.t2[1::2].mean(), x.t1.mean(), x.t0.mean()]) * (k >= 10) / 30
+    print(want, got)
+    assert np.abs(got - want).max() < 0.25
 
 
 def test_many_customers_sit_as_one_after_another():
     # expected tables by the recurrence over the exact distribution
-    d, a, n, copies = 0.3, 1.4, 400, 3000
+    d, others, gain, n, copies = 0.3, 4.0, 0.01, 400, 3000
+    k = np.arange(n + 1)
+    a = (others + d * k) * (0.3 + gain * k)
     p = np.zeros(n + 1)
     p[1] = 1.0
     for i in range(1, n):
-        opens = np.where(p > 0, a / np.maximum(a + i - d * np.arange(n + 1), 1e-9), 0.0)
+        opens = np.where(p > 0, a / np.maximum(a + i - d * k, 1e-9), 0.0)
         p = p * (1 - opens) + np.concatenate(([0], (p * opens)[:-1]))
-    key = textkit.mix(np.arange(copies, dtype=np.uint64))
-    got = language_model.seat(np.full(copies, float(n)), np.full(copies, a), d, key, 5)
-    mean = (p * np.arange(n + 1)).sum()
-    spread = math.sqrt((p * np.arange(n + 1) ** 2).sum() - mean**2)
+    full = lambda x: np.full(copies, float(x))
+    got = language_model.seat(full(n), d, full(others), full(0.3), full(gain), textkit.mix(np.arange(copies, dtype=np.uint64)), 5)
+    mean = (p * k).sum()
+    spread = math.sqrt((p * k**2).sum() - mean**2)
     assert abs(got.mean() - mean) < 5 * spread / math.sqrt(copies) and abs(got.std() - spread) < 0.1 * spread
 
 
@@ -615,14 +646,22 @@ def test_sweeps_keep_customers_and_tables_in_step(spark):
     x = language_model._words(words.toPandas().sort_values("w").reset_index(drop=True), model)
     seen = set()
     for k in x.samples():
-        assert (np.bincount(x.pair, weights=x.low.t, minlength=len(x.pair_key)) == x.mid.n).all()
-        assert (np.bincount(x.pair_of, weights=x.mid.t, minlength=len(x.names)) == x.top.n).all()
-        assert (x.low.n == x.n).all() and (x.low.t <= x.low.n).all() and (x.top.t >= 1).all()
+        assert (np.bincount(x.pair, weights=x.t2, minlength=len(x.pair_key)) == x.n1).all()
+        assert (np.bincount(x.pair_of, weights=x.t1, minlength=len(x.names)) == x.n0).all()
+        assert (x.t2 <= x.n).all() and (x.t1 <= x.n1).all() and (x.t0 <= x.n0).all() and (x.t0 >= 1).all() and (x.t2 >= 1).all() and (x.t1 >= 1).all()
         assert np.allclose(x.numbers(), np.concatenate((model["counts"][2 + k]["t2"], model["counts"][2 + k]["t1"], [model["counts"][2 + k]["t0"]])))
-        seen.add(x.low.t.sum())
+        seen.add(x.t2.sum())
     assert len(seen) > 1
 
 
+def test_language_model_on_odd_rows(spark):
+    got = language_model.score(odd(spark), odd(spark).where("doc_id < 6")).collect()
+    assert len(got) == 10 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    by = {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"]}
+    assert by[2] == by[3] == by[4] == 1 and by[7] == 18_001
+    assert language_model.score(empty(spark), odd(spark)).count() == 0
+
+
 def test_language_model_beats_single_tokens(spark):
     got = registered.op8_language_model(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
