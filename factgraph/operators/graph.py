@@ -111,24 +111,28 @@ def fact_history(ids: DataFrame, facts: DataFrame, articles: DataFrame, edges: D
 def evolve(ids: DataFrame, edges: DataFrame, max_depth: int | None = None, edge_types: tuple[str, ...] = ("EVOLVES_TO",), limit: int | None = None) -> DataFrame:
     """(start_id, id, distance, path): outgoing paths from each fact without repeated nodes, of any length or up to ``max_depth`` steps.
 
-    A join per step over the edges of the given types; it ends as soon as a step finds nothing.
+    A join per step over the edges of the given types; it ends as soon as a step finds nothing. With a ``limit``, the
+    first paths of each start by (distance, id, path): paths come in order of distance, so a start that has its number
+    leaves the front, and no more than that number of a step's paths are kept for it. The front stays below ``limit``
+    paths a start, however dense the graph.
     """
     from ..staging import staged
 
     step = edges.where(F.col("type").isin(*edge_types)).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     step = staged(step, "steps")
     front = ids.select(F.col("id").alias("start_id"), F.col("id"), F.lit(0).alias("distance"), F.array("id").alias("path")).distinct()
-    out, depth = None, 0
+    out, depth, first = None, 0, Window.partitionBy("start_id").orderBy("distance", "id", "path")
+    best = lambda df: df if limit is None else df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("rank")
     while max_depth is None or depth < max_depth:
         found = front.join(step, front["id"] == step["at"]).where(~F.array_contains("path", F.col("to"))).select("start_id", F.col("to").alias("id"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("to")).alias("path"))
-        front, depth = staged(found, "front"), depth + 1
+        front, depth = staged(best(found), "front"), depth + 1
         out = front if out is None else out.unionByName(front)
         if front.isEmpty():
             break
-    if limit is None:
-        return out
-    w = Window.partitionBy("start_id").orderBy("distance", "id", "path")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
+        if limit is not None:
+            full = out.groupBy("start_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).select("start_id")
+            front = front.join(full, "start_id", "left_anti")
+    return best(out)
 
 
 def count_nodes(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
 from ..staging import short_batches, staged
+from .components import connected
 
 #: Vectors in one block or so; a task multiplies two blocks at a time.
 BLOCK = 2048
@@ -27,6 +28,8 @@ PIVOTS, PIVOT_NUMBERS, SAMPLE = 4096, 1_000_000, 4
 STEPS = 128
 #: Blocks of one side of a tile, and blocks whose bounds are compared at a time.
 TILE, CHUNK = 8, 4096
+#: Pairs of one component that one task settles.
+COMPONENT = 500_000
 #: What rounding can change in an angle.
 SLACK = 1e-6
 
@@ -269,9 +272,9 @@ def near_existing(facts: DataFrame, existing: DataFrame, threshold: float) -> Da
 def dedup_facts(facts: DataFrame, threshold: float = 0.05, existing: DataFrame | None = None) -> DataFrame:
     """(id, kept): facts in order of (created_at, id); one is kept unless a fact kept before it, or one of ``existing`` (id, embedding), is closer than the threshold.
 
-    Copies of a vector: only the first of them in order can be kept. Among these firsts, rounds over the pairs settle
-    what is certain: a fact whose earlier neighbours are all dropped is kept, one with a kept earlier neighbour is
-    dropped. Null vectors are kept. Every round settles at least the first open fact of each chain.
+    Copies of a vector: only the first of them in order can be kept. What one of these firsts does depends on its own
+    component of the pair graph only, so a component of up to COMPONENT pairs is settled by one task, fact after fact;
+    larger ones are settled in rounds (``_rounds``). Null vectors are kept.
     """
     if existing is not None:
         near = near_existing(facts, existing, threshold)
@@ -283,15 +286,45 @@ def dedup_facts(facts: DataFrame, threshold: float = 0.05, existing: DataFrame |
     lead = staged(member.join(base.select("id", "created_at"), "id").groupBy("rep").agg(F.min(order).alias("o")), "leads")
     pairs = rep_pairs(base, member.select("rep").distinct(), 0.0, threshold)
     a, b = lead.select(F.col("rep").alias("a"), F.col("o").alias("oa")), lead.select(F.col("rep").alias("b"), F.col("o").alias("ob"))
-    directed = pairs.join(a, "a").join(b, "b").select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late"))
-    directed = staged(directed, "pairs")
-    state = staged(lead.join(directed.select(F.col("late").alias("rep")).distinct().withColumn("open", F.lit(True)), "rep", "left").select("rep", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")), "state")
+    first = F.col("oa") < F.col("ob")
+    turned = pairs.join(a, "a").join(b, "b").select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("a", "b", "early"), ("b", "a", "late"), ("oa", "ob", "o_early"), ("ob", "oa", "o_late"))])
+    directed = staged(turned, "pairs")
+    root = connected(directed, "early", "late")
+    rooted = staged(directed.join(root, directed["early"] == root["node"]).drop("node"), "pairs")
+    large = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPONENT).select("root")
+    large = staged(large, "large")
+    flat = [F.col(f"o_{x}.{c}").alias(f"{x}_{c}") for x in ("early", "late") for c in ("created_at", "id")]
+    small = rooted.join(large, "root", "left_anti").select("root", "early", "late", *flat)
+    settled = small.groupBy("root").applyInPandas(_in_order, "rep long, kept boolean")
+    if not large.isEmpty():
+        settled = settled.unionByName(_rounds(rooted.join(large, "root", "left_semi").select("early", "late")))
+    state = lead.join(settled, "rep", "left").select("rep", F.coalesce("kept", F.lit(True)).alias("kept"), F.col("o.id").alias("lead_id"))
+    known = member.join(state, "rep").select("id", (F.col("kept") & (F.col("id") == F.col("lead_id"))).alias("k"))
+    return facts.select("id").join(known, "id", "left").select("id", F.coalesce("k", F.lit(True)).alias("kept"))
+
+
+def _in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(rep, kept) of one component's facts, one after the other: dropped if a kept one before it is near."""
+    before: dict[int, list[int]] = {}
+    for early, late in zip(pairs["early"].tolist(), pairs["late"].tolist()):
+        before.setdefault(late, []).append(early)
+        before.setdefault(early, [])
+    ends = pd.concat([pairs[[side, f"{side}_created_at", f"{side}_id"]].set_axis(["rep", "at", "id"], axis=1) for side in ("early", "late")]).drop_duplicates("rep")
+    kept: dict[int, bool] = {}
+    for rep in ends.sort_values(["at", "id"], na_position="first")["rep"].tolist():
+        kept[rep] = not any(kept[x] for x in before[rep])
+    return pd.DataFrame({"rep": list(kept), "kept": list(kept.values())})
+
+
+def _rounds(directed: DataFrame) -> DataFrame:
+    """(rep, kept) of the facts in ``directed`` (early, late): each round settles the facts whose earlier neighbours are all dropped, or of which one is kept."""
+    late = directed.select(F.col("late").alias("rep")).distinct()
+    early = directed.select(F.col("early").alias("rep")).distinct().join(late, "rep", "left_anti")
+    state = staged(late.withColumn("kept", F.lit(None).cast("boolean")).unionByName(early.withColumn("kept", F.lit(True))), "state")
     while not state.where("kept IS NULL").isEmpty():
         seen = directed.join(state.select(F.col("rep").alias("early"), F.col("kept").alias("k")), "early").groupBy("late").agg(F.max(F.coalesce("k", F.lit(False))).alias("any_kept"), F.count_if(F.col("k").isNull()).alias("n_open"))
         state = staged(state.join(seen, state["rep"] == seen["late"], "left").select("rep", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("any_kept"), False).when(F.col("n_open") == 0, True).alias("kept")), "state")
-    leads = lead.select(F.col("rep"), F.col("o.id").alias("lead_id"))
-    known = member.join(leads, "rep").join(state, "rep").select("id", (F.col("kept") & (F.col("id") == F.col("lead_id"))).alias("k"))
-    return facts.select("id").join(known, "id", "left").select("id", F.coalesce("k", F.lit(True)).alias("kept"))
+    return state
 
 
 def cross_candidates(to_check: DataFrame, baseline: DataFrame, most: int = 500) -> DataFrame:

@@ -146,6 +146,20 @@ def test_evolve_survives_cycles(spark):
     assert sorted(r["path"] for r in got) == [[1, 2], [1, 2, 3]]
 
 
+def test_evolution_of_a_dense_graph_ends(spark, monkeypatch):
+    """All pairs of 40 facts: paths without a limit would be more than 10**40; each start leaves the front with its first 25."""
+    n = 40
+    edges = spark.createDataFrame([(i, j, "EVOLVES_TO") for i in range(n) for j in range(n) if i != j] + [(100, 101, "EVOLVES_TO"), (101, 0, "EVOLVES_TO")], "src long, dst long, type string")
+    got = graph.evolve(spark.createDataFrame([(0,), (7,), (100,), (500,)], "id long"), edges, limit=25).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["start_id"], []).append((r["distance"], r["id"], r["path"]))
+    assert sorted(of[0]) == [(1, j, [0, j]) for j in range(1, 26)]
+    assert sorted(of[7]) == [(1, j, [7, j]) for j in range(26) if j != 7]
+    assert sorted(of[100]) == [(1, 101, [100, 101]), (2, 0, [100, 101, 0])] + [(3, j, [100, 101, 0, j]) for j in range(1, 24)]
+    assert 500 not in of
+
+
 def test_page_bounds():
     assert graph.page_bounds(10, 5) == (10, 5)
     assert graph.page_bounds(0, -1, strict=False) == (20, 0)

@@ -83,3 +83,28 @@ def test_no_vectors(spark):
     assert similarity.rep_pairs(df, reps(df), 0.0, 0.5).count() == 0
     one = frame(spark, np.ones((1, 3)))
     assert similarity.rep_pairs(one, reps(one), 0.0, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("component", [500_000, 3])
+def test_a_long_chain_is_settled_in_a_few_jobs(spark, monkeypatch, component):
+    """Facts that drift along a circle: each is near its neighbours only, so whether one stays hangs on all before it."""
+    n = 2000 if component > 3 else 30
+    monkeypatch.setattr(similarity, "COMPONENT", component)
+    monkeypatch.setattr(similarity, "BLOCK", 300)
+    at = np.arange(n) * 0.003
+    when = [i * 7919 % n for i in range(n)] if component == 3 else list(range(n))
+    rows = [(i, f"2024-01-01 {w // 3600:02d}:{w // 60 % 60:02d}:{w % 60:02d}", [math.cos(x), math.sin(x)]) for i, (x, w) in enumerate(zip(at, when))]
+    rows += [(n, "2024-01-01 00:00:00", rows[5][2]), (n + 1, "2024-01-01 00:00:00", None)]
+    df = spark.createDataFrame(rows, "id long, t string, embedding array<double>").selectExpr("id", "to_timestamp(t) AS created_at", "embedding")
+    made = []
+    monkeypatch.setattr(similarity, "staged", lambda d, label, f=similarity.staged: made.append(label) or f(d, label))
+    threshold = 1 - math.cos(0.0045)
+    got = {r["id"]: r["kept"] for r in similarity.dedup_facts(df, threshold).collect()}
+    kept = []
+    want = {}
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = v is None or all(1 - v[0] * x[0] - v[1] * x[1] >= threshold for x in kept)
+        if want[i] and v is not None:
+            kept.append(v)
+    assert got == want
+    assert component == 3 or len(made) < 15
