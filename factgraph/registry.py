@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from . import staging
 from .functions import scores, shapes, text, vectors
-from .operators import contradictions, counters, gates, graph, hooks, provenance, search, similarity, tables, trust
+from .operators import buckets, contradictions, counters, gates, graph, hooks, provenance, search, similarity, tables, trust
 from .plans import consistency, publish
 from .sources import readers
 from .streaming import streams
@@ -334,6 +334,16 @@ def upsert_articles(s, d):
     return tables.upsert_articles(a.where("id % 2 = 0"), new).select("url", "id", "title", F.md5("raw_text").alias("text_md5"))
 
 
+@query("""SELECT url, id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN title ELSE 'new ' || title END AS title, md5(CASE WHEN id % 2 = 0 THEN raw_text ELSE 'other' END) AS text_md5 FROM articles_fx""")
+def upsert_articles_in_place(s, d):
+    a = fx.articles(s, d).select("url", "id", "title", "raw_text")
+    new = a.where("id % 2 = 1 OR id % 4 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "raw_text": F.lit("other")})
+    path = staging.new_dir(s, "articles")
+    buckets.create(a.where("id % 2 = 0"), path, ["url"], 16)
+    buckets.upsert_into(s, path, new, ["title"], ["id", "raw_text"], [F.col("id")])
+    return buckets.read(s, path).select("url", "id", "title", F.md5("raw_text").alias("text_md5"))
+
+
 @query("""SELECT src AS fact1_id, dst AS fact2_id, CASE WHEN src % 20 = 0 THEN 0.99::DOUBLE ELSE weight END AS contradiction_score, TIMESTAMP '2024-01-01' AS detected_at FROM edges_fx WHERE type = 'CONTRADICTS'""")
 def upsert_contradictions(s, d):
     e = fx.edges(s, d).where("type = 'CONTRADICTS'").selectExpr("src AS fact1_id", "dst AS fact2_id", "weight AS contradiction_score", "TIMESTAMP'2024-01-01' AS detected_at", "TIMESTAMP'2024-01-01' AS updated_at", "'x' AS detection_method")
@@ -393,25 +403,34 @@ def merge_contradiction_edges(s, d):
     return graph.build_contradiction_edges(e.unionByName(back), fx.facts(s, d)).select("src", "dst", "weight")
 
 
-@query(f"SELECT 'vertex' AS kind, count(*) AS n FROM (SELECT id FROM ({PUBLISHED}) UNION ALL SELECT id FROM ({GATED_ARTICLES})) UNION ALL SELECT 'edge', count(*) FROM ({ASSERTED})")
-def publish_graph(s, d):
-    v, e = publish.publish_graph(fx.facts(s, d), fx.articles(s, d), fx.article_topics(s, d))
-    n = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return n(v, "vertex").unionByName(n(e, "edge"))
+GRAPH = f"""SELECT 'Fact' AS label, id, NULL::BIGINT AS dst, {STATEMENT} AS text, confidence, NULL::VARCHAR AS url, NULL::VARCHAR AS title, NULL::VARCHAR AS date FROM facts_fx WHERE id IN ({PUBLISHED})
+    UNION ALL SELECT 'Article', id, NULL, NULL, NULL, url, title, strftime(published_date, '%Y-%m-%dT%H:%M:%S') FROM articles_fx WHERE id IN (SELECT id FROM ({GATED_ARTICLES}))
+    UNION ALL SELECT 'ASSERTED', src, dst, NULL, NULL, NULL, NULL, NULL FROM ({ASSERTED})"""
 
 
-def _sizes(v: DataFrame, e: DataFrame) -> DataFrame:
-    n = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return n(v, "vertex").unionByName(n(e, "edge"))
+def _graph_rows(v: DataFrame, e: DataFrame) -> DataFrame:
+    none = lambda c: F.lit(None).cast("double" if c == "confidence" else "string").alias(c)
+    columns = ["text", "confidence", "url", "title", "date"]
+    edges = e.select(F.col("type").alias("label"), F.col("src").alias("id"), "dst", *map(none, columns))
+    return v.select("label", "id", F.lit(None).cast("long").alias("dst"), *columns).unionByName(edges)
+
+
+@query(GRAPH)
+def publish_graph(s, d):
+    path = staging.new_dir(s, "graph")
+    publish.write_graph(*publish.publish_graph(fx.facts(s, d), fx.articles(s, d), fx.article_topics(s, d)), path)
+    return _graph_rows(*publish.read_graph(s, path))
 
 
-@query(f"SELECT 'vertex' AS kind, count(*) AS n, 0::BIGINT AS after_reset FROM (SELECT id FROM ({PUBLISHED}) UNION ALL SELECT id FROM ({GATED_ARTICLES})) UNION ALL SELECT 'edge', count(*), 0 FROM ({ASSERTED})")
+@query(f"SELECT label, id, dst, TRUE AS gone FROM ({GRAPH})")
 def reset_graph(s, d):
     path = staging.new_dir(s, "graph")
     publish.write_graph(*publish.publish_graph(fx.facts(s, d), fx.articles(s, d), fx.article_topics(s, d)), path)
-    before = staging.staged(_sizes(*publish.read_graph(s, path)), "before")
+    before = staging.staged(_graph_rows(*publish.read_graph(s, path)).select("label", "id", "dst"), "before")
     publish.write_graph(*graph.empty_graph(s), path)
-    return before.join(_sizes(*publish.read_graph(s, path)).withColumnRenamed("n", "after_reset"), "kind")
+    after = _graph_rows(*publish.read_graph(s, path)).select("label", "id", "dst").withColumn("left", F.lit(True))
+    same = [before[c].eqNullSafe(after[c]) for c in ("label", "id", "dst")]
+    return before.join(after, same, "left").select(before["label"], before["id"], before["dst"], F.col("left").isNull().alias("gone"))
 
 
 @query(f"""SELECT 'facts' AS part, id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS at, {STATEMENT} AS text FROM facts_fx UNION ALL SELECT 'articles', id, strftime(published_date, '%Y-%m-%dT%H:%M:%S'), url FROM articles_fx
