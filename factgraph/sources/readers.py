@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..staging import short_batches
+from .main_text import outside_boilerplate
 
 
 def event_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +45,17 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def _main_text():
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda html: outside_boilerplate(html) if isinstance(html, str) else None)
+
+    return F.pandas_udf("string")(run)
+
+
 def extract_main_text(pages: DataFrame, min_chars: int = 200) -> DataFrame:
-    """(page_id, title, text, published) of pages whose main text is longer than ``min_chars``: scripts, styles, comments, navigation and tags go."""
-    body = F.col("html")
-    for tag in ("script", "style", "nav", "header", "footer", "aside", "form"):
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    body = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+    """(page_id, title, text, published) of pages whose main text is longer than ``min_chars``: scripts, styles, comments, navigation, lists of links and tags go, however they nest."""
+    short_batches(pages.sparkSession)
+    body = _main_text()("html")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         body = F.replace(body, F.lit(entity), F.lit(char))
     text = stripped(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
