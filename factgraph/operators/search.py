@@ -38,8 +38,10 @@ def _text(facts: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of a text, in one pass over it; none of a shorter one."""
     chars = F.split(text, "")
-    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-    return F.when(F.size(chars) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    from_ = lambda k: F.slice(chars, F.lit(k), F.size(chars))
+    join = lambda x, y: F.concat(x, y)  # noqa: E731  null past the end, as one side is shorter
+    runs = F.array_compact(F.array_distinct(F.zip_with(F.zip_with(chars, from_(2), join), from_(3), join)))
+    return F.when(F.length(text) >= 3, runs).otherwise(F.array().cast("array<string>"))
 
 
 def _rarest(words: DataFrame, facts: DataFrame) -> DataFrame:
