@@ -670,19 +670,23 @@ def band_candidates(s, d):
     return _round(similarity.band_candidates(f, gates.facts_to_check(f, fx.articles(s, d), NOW), 0.05, 0.65))
 
 
-@query("SELECT f.id, NOT EXISTS (SELECT 1 FROM facts_fx e WHERE e.embedding = f.embedding AND (e.created_at < f.created_at OR e.created_at = f.created_at AND e.id < f.id)) AS kept FROM facts_fx f")
-def dedup_semantic(s, d):
-    return similarity.dedup_facts(fx.facts(s, d))
-
-
 # one fact after the other, in order: kept unless a kept one is near; of equal vectors only the first can be kept
-@query(f"""WITH RECURSIVE o AS (SELECT id, embedding, row_number() OVER (ORDER BY created_at, id) AS rn, row_number() OVER (PARTITION BY embedding ORDER BY created_at, id) AS copy FROM facts_fx),
+def _greedy_sql(t: float) -> str:
+    return f"""WITH RECURSIVE o AS (SELECT id, embedding, row_number() OVER (ORDER BY created_at, id) AS rn, row_number() OVER (PARTITION BY embedding ORDER BY created_at, id) AS copy FROM facts_fx),
     lead AS (SELECT id, embedding, row_number() OVER (ORDER BY rn) AS k FROM o WHERE copy = 1),
-    near AS (SELECT b.k, list(a.k) AS earlier FROM lead a JOIN lead b ON a.k < b.k WHERE {DIST} < 0.6 GROUP BY b.k),
+    near AS (SELECT b.k, list(a.k) AS earlier FROM lead a JOIN lead b ON a.k < b.k WHERE {DIST} < {t} GROUP BY b.k),
     every AS (SELECT lead.k, coalesce(earlier, []) AS earlier FROM lead LEFT JOIN near ON near.k = lead.k),
     r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT e.k, CASE WHEN list_has_any(r.kept, e.earlier) THEN r.kept ELSE list_append(r.kept, e.k) END FROM r JOIN every e ON e.k = r.k + 1),
     final AS (SELECT unnest(kept) AS k FROM r WHERE k = (SELECT max(k) FROM lead))
-    SELECT id, id IN (SELECT lead.id FROM lead JOIN final ON final.k = lead.k) AS kept FROM facts_fx""")
+    SELECT id, id IN (SELECT lead.id FROM lead JOIN final ON final.k = lead.k) AS kept FROM facts_fx"""
+
+
+@query(_greedy_sql(0.05))
+def dedup_semantic(s, d):
+    return similarity.dedup_facts(fx.facts(s, d))
+
+
+@query(_greedy_sql(0.6))
 def dedup_semantic_wide(s, d):
     return similarity.dedup_facts(fx.facts(s, d), 0.6)
 
