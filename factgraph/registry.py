@@ -609,7 +609,7 @@ def provenance_lookup(s, d):
     return provenance.provenance_lookup(f.select("id"), f, fx.articles(s, d)).select("id", "statement", "master_id", "master_statement")
 
 
-@query("SELECT url FROM articles_fx UNION SELECT url FROM external_hits_fx WHERE rank = 1")
+@query("""SELECT url FROM articles_fx UNION ALL SELECT url FROM (SELECT DISTINCT url FROM external_hits_fx WHERE rank = 1) h WHERE NOT EXISTS (SELECT 1 FROM articles_fx a WHERE a.url = h.url)""")
 def external_reference(s, d):
     return provenance.external_reference(fx.articles(s, d), fx.external_hits(s, d)).select("url")
 
