@@ -982,7 +982,9 @@ def run_counters(s, d):
     return fx.articles(s, d).groupBy("ingestion_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("processed_at").isNull()).alias("waiting"))
 
 
-@query("SELECT ingestion_source, count(*) AS found, count(*) FILTER (id % 2 = 1) AS inserted, count(*) FILTER (id % 2 = 0) AS known FROM articles_fx GROUP BY 1")
+# urls repeat: inserted is the first row of each url that no old row has, and every row without a url
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM articles_fx), k AS (SELECT ingestion_source, (r = 1 OR url IS NULL) AND NOT EXISTS (SELECT 1 FROM articles_fx o WHERE o.id % 2 = 0 AND o.url = f.url) AS new FROM f)
+    SELECT ingestion_source, count(*) AS found, count(*) FILTER (new) AS inserted, count(*) FILTER (NOT new) AS known FROM k GROUP BY 1""")
 def insert_counters(s, d):
     a = fx.articles(s, d).select("id", "url", "ingestion_source")
     return tables.insert_counters(a.where("id % 2 = 0"), a, ["url"], [F.col("id")], "ingestion_source")

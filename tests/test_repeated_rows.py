@@ -8,7 +8,7 @@ duckdb = pytest.importorskip("duckdb")
 from factgraph import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["dedup_semantic", "external_reference"]
+NAMES = ["dedup_semantic", "external_reference", "insert_counters"]
 
 
 @pytest.fixture(scope="module")
