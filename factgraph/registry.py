@@ -320,7 +320,10 @@ def zero_shot_json(s, d):
 # ---------------------------------------------------------------- table mutation
 
 
-@query("SELECT id, url FROM articles_fx WHERE id % 2 = 0 UNION ALL SELECT id, url FROM articles_fx WHERE id % 2 = 1")
+# urls repeat: of incoming rows with one url the first is new, and only if no old row has that url; rows without a url are all new
+@query("""WITH old AS (SELECT id, url FROM articles_fx WHERE id % 2 = 0), new AS (SELECT CASE WHEN id % 4 = 0 THEN -id ELSE id END AS id, url FROM articles_fx WHERE id % 2 = 1 OR id % 4 = 0),
+    first AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM new)
+    SELECT id, url FROM old UNION ALL SELECT id, url FROM first WHERE (r = 1 OR url IS NULL) AND NOT EXISTS (SELECT 1 FROM old WHERE old.url = first.url)""")
 def insert_ignore(s, d):
     a = fx.articles(s, d).select("id", "url")
     old, new = a.where("id % 2 = 0"), a.where("id % 2 = 1 OR id % 4 = 0").withColumn("id", F.when(F.col("id") % 4 == 0, -F.col("id")).otherwise(F.col("id")))
