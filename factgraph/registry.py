@@ -330,7 +330,13 @@ def insert_ignore(s, d):
     return tables.insert_ignore(old, new, ["url"], [F.col("id")])
 
 
-@query("""SELECT url, id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN title ELSE 'new ' || title END AS title, md5(CASE WHEN id % 2 = 0 THEN raw_text ELSE 'other' END) AS text_md5 FROM articles_fx""")
+# urls repeat: every old row with a url meets the first incoming one with it; rows without a url meet none
+UPSERTED = """WITH old AS (SELECT url, id, title, raw_text FROM articles_fx WHERE id % 2 = 0), new AS (SELECT url, id, 'new ' || title AS title, 'other' AS raw_text FROM articles_fx WHERE id % 2 = 1 OR id % 4 = 0),
+    first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM new) WHERE r = 1 OR url IS NULL)
+    SELECT coalesce(o.url, n.url) AS url, coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title, md5(coalesce(o.raw_text, n.raw_text)) AS text_md5 FROM old o FULL JOIN first n ON n.url = o.url"""
+
+
+@query(UPSERTED)
 def upsert_articles(s, d):
     a = fx.articles(s, d).select("url", "id", "title", "raw_text")
     new = a.where("id % 2 = 1 OR id % 4 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "raw_text": F.lit("other")})
