@@ -343,7 +343,7 @@ def upsert_articles(s, d):
     return tables.upsert_articles(a.where("id % 2 = 0"), new).select("url", "id", "title", F.md5("raw_text").alias("text_md5"))
 
 
-@query("""SELECT url, id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN title ELSE 'new ' || title END AS title, md5(CASE WHEN id % 2 = 0 THEN raw_text ELSE 'other' END) AS text_md5 FROM articles_fx""")
+@query(UPSERTED)
 def upsert_articles_in_place(s, d):
     a = fx.articles(s, d).select("url", "id", "title", "raw_text")
     new = a.where("id % 2 = 1 OR id % 4 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "raw_text": F.lit("other")})

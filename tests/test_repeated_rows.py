@@ -8,7 +8,7 @@ duckdb = pytest.importorskip("duckdb")
 from factgraph import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["dedup_semantic", "external_reference", "insert_counters", "insert_ignore", "upsert_articles"]
+NAMES = ["dedup_semantic", "external_reference", "insert_counters", "insert_ignore", "upsert_articles", "upsert_articles_in_place"]
 
 
 @pytest.fixture(scope="module")
