@@ -32,6 +32,8 @@ TILE, CHUNK = 8, 4096
 COMPONENT = 500_000
 #: What rounding can change in an angle.
 SLACK = 1e-6
+#: Digits of a distance by which neighbours are ranked: what is equal in them goes by id, however a product was summed up.
+DIGITS = 9
 
 
 def classes(facts: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def similar_pairs(facts: DataFrame, threshold: float, method: str = "blocked") -
 
 
 def _ranked(facts: DataFrame, low: float, high: float, k: int, closed: bool) -> DataFrame:
-    """(id, neighbor_id, distance, rank): the k nearest others of each fact inside the bounds, by (distance, id)."""
+    """(id, neighbor_id, distance, rank): the k nearest others of each fact inside the bounds, by (distance to DIGITS digits, id)."""
     member = staged(classes(facts), "members")
     # of a class no more than k + 1 members can be anybody's neighbours
     first = member.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -222,10 +224,11 @@ def _ranked(facts: DataFrame, low: float, high: float, k: int, closed: bool) ->
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     if low <= 0:
         both = both.unionByName(member.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct().withColumn("distance", F.lit(0.0)))
-    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("r") <= k + 1)
-    of_rep = near.join(first, near["b"] == first["rep"]).select("a", "distance", F.explode("ids").alias("neighbor_id"))
-    of_rep = of_rep.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("distance", "neighbor_id"))).where(F.col("r") <= k + 1)
-    lists = of_rep.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
+    both = both.withColumn("level", F.round("distance", DIGITS))
+    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("level", "b"))).where(F.col("r") <= k + 1)
+    of_rep = near.join(first, near["b"] == first["rep"]).select("a", "level", "distance", F.explode("ids").alias("neighbor_id"))
+    of_rep = of_rep.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("level", "neighbor_id"))).where(F.col("r") <= k + 1)
+    lists = of_rep.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("level", "neighbor_id", "distance"))).alias("near"))
     own = member.join(lists, member["rep"] == lists["a"]).select("id", F.posexplode(F.slice(F.filter("near", lambda n: n["neighbor_id"] != F.col("id")), 1, k)).alias("p", "n"))
     return own.select("id", "n.neighbor_id", "n.distance", (F.col("p") + 1).alias("rank"))
 
@@ -236,7 +239,7 @@ def knn_neighbors(facts: DataFrame, threshold: float = 0.15, k: int = 10) -> Dat
 
 
 def band_candidates(facts: DataFrame, new: DataFrame, low: float = 0.05, high: float = 0.3, k: int = 10) -> DataFrame:
-    """Per new fact the k nearest original facts at a distance from low to high, both included."""
+    """Per new fact the k nearest original facts at a distance from low to high, both included, by (distance to DIGITS digits, id)."""
     pool = facts.where("is_original").select("id", "embedding").unionByName(facts.join(new.select("id"), "id", "left_semi").select("id", "embedding")).distinct()
     member = staged(classes(pool), "members")
     sides = member.join(new.select("id").distinct().withColumn("asks", F.lit(True)), "id", "left").join(facts.where("is_original").select("id").distinct().withColumn("answers", F.lit(True)), "id", "left")
@@ -245,7 +248,7 @@ def band_candidates(facts: DataFrame, new: DataFrame, low: float = 0.05, high: f
     originals = member.join(facts.where("is_original").select("id"), "id", "left_semi")
     first = originals.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k)
     of_rep = both.join(first.select(F.col("rep").alias("b"), F.col("id").alias("neighbor_id")), "b")
-    of_rep = of_rep.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
+    of_rep = of_rep.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.round("distance", DIGITS), "neighbor_id"))).where(F.col("rank") <= k)
     own = member.join(new.select("id"), "id", "left_semi")
     return own.join(of_rep, own["rep"] == of_rep["a"]).select("id", "neighbor_id", "distance", "rank")
 

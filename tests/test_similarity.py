@@ -108,3 +108,11 @@ def test_a_long_chain_is_settled_in_a_few_jobs(spark, monkeypatch, component):
             kept.append(v)
     assert got == want
     assert component == 3 or len(made) < 15
+
+
+def test_neighbours_that_differ_by_rounding_go_by_id(spark):
+    """Of two neighbours whose distances agree in nine digits the one with the smaller id comes first, though the other is nearer by a trillionth."""
+    at = {1: 0.0, 2: 0.1 + 1e-11, 3: -0.1, 4: 0.4}
+    df = spark.createDataFrame([(i, i != 1, [math.cos(x), math.sin(x)]) for i, x in at.items()], "id long, is_original boolean, embedding array<double>")
+    for got in (similarity.knn_neighbors(df, 0.15, 1), similarity.band_candidates(df, df.where("id = 1"), 0.001, 0.15, 1)):
+        assert {(r["id"], r["neighbor_id"]) for r in got.where("id = 1").collect()} == {(1, 2)}
