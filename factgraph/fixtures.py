@@ -34,12 +34,15 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.split("text", "[ \n]+").alias("t"), F.expr("doc_id % 500").alias("vec_id"))
-    d = d.crossJoin(_n_pages(spark, sf)).join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    """Of a text no more than its first words goes on. A fact's vector is one of those whose ids are remainders of 500: few, so the documents stay where they are read."""
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "[ \n]+", 6).alias("t"), F.expr("doc_id % 500").alias("vec_id"))
+    d = d.select(
+        "doc_id", "vec_id", F.expr("coalesce(try_element_at(t,1),'')").alias("subject"), F.expr("coalesce(try_element_at(t,2),'')").alias("predicate"),
+        F.expr("concat_ws(' ', slice(t,3,3))").alias("object"))
+    e = table(spark, sf, "embeddings").where("vec_id BETWEEN -499 AND 499").select("vec_id", "embedding")
+    d = d.crossJoin(_n_pages(spark, sf)).join(F.broadcast(e), "vec_id")  # 999 rows at most
     return d.select(
-        F.col("doc_id").alias("id"), F.expr("doc_id % n_pages").alias("article_id"),
-        F.expr("coalesce(try_element_at(t,1),'')").alias("subject"), F.expr("coalesce(try_element_at(t,2),'')").alias("predicate"),
-        F.expr("concat_ws(' ', slice(t,3,3))").alias("object"), F.expr("double((doc_id*37)%101)/100").alias("confidence"),
+        F.col("doc_id").alias("id"), F.expr("doc_id % n_pages").alias("article_id"), "subject", "predicate", "object", F.expr("double((doc_id*37)%101)/100").alias("confidence"),
         F.expr("TIMESTAMP'2024-01-01' + make_interval(0,0,0,0,int(doc_id%720))").alias("created_at"),
         F.expr("doc_id % 3 <> 0").alias("is_original"), F.expr("IF(doc_id % 3 = 0 AND doc_id % 2 = 0, doc_id + 1, NULL)").alias("provenance_id"),
         F.expr("IF(doc_id % 7 = 0, NULL, TIMESTAMP'2024-01-15')").alias("checked_at"),
