@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.scores import heuristic_stance
 from ..functions.text import fact_statement, sentences, smart_cut, stripped
 from ..functions.vectors import cosine_similarity, norm
+from ..staging import short_batches
 
 #: Topic prototypes that are broadcast at a time.
 PROTOTYPES = 1000
+#: Entities that a task hands on at a time.
+ENTITIES = 20_000
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -107,17 +111,24 @@ ENTITY, WORD = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*", r"[\p{L}\p{N}_]+
 
 
 def extract_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(id, text, type, position, start): runs of capitalised words, with the place of each in the text; a text's own column is read, one pass a row."""
-    find, entity = regex.compile(f"{ENTITY}|{WORD}"), regex.compile(ENTITY)
+    """(id, text, type, position, start): runs of capitalised words, with the place of each in the text; a text's own column is read, one pass a row.
+
+    A task holds a short batch of texts and ENTITIES entities, however many rows it has and however long a text is.
+    """
+    find, entity, most = regex.compile(f"{ENTITY}|{WORD}"), regex.compile(ENTITY), ENTITIES
+
+    def found(b: pd.DataFrame) -> Iterator[tuple]:
+        for id_, text in zip(b["id"], b["text"]):
+            runs = (m for m in find.finditer(text or "") if entity.fullmatch(m.group()))
+            yield from ((id_, m.group(), "ORG", i, m.start()) for i, m in enumerate(runs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for id_, text in zip(b["id"], b["text"]):
-                runs = [m for m in find.finditer(text or "") if entity.fullmatch(m.group())]
-                rows += [(id_, m.group(), "ORG", i, m.start()) for i, m in enumerate(runs)]
-            yield pd.DataFrame(rows, columns=["id", "text", "type", "position", "start"])
+            own = found(b)
+            while rows := list(islice(own, most)):
+                yield pd.DataFrame(rows, columns=["id", "text", "type", "position", "start"])
 
+    short_batches(df.sparkSession)
     id_type = df.schema["id"].dataType.simpleString()
     return df.select("id", F.col(text_col).alias("text")).mapInPandas(run, f"id {id_type}, text string, type string, position int, start int")
 
