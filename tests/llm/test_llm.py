@@ -564,6 +564,29 @@ def test_language_model(spark, head, monkeypatch):
     assert language_model.score(df.limit(0), df).count() == 0 and language_model.score(df, df.limit(0)).count() == len(rows)
 
 
+def test_tokens_travel_in_bundles():
+    rng = np.random.default_rng(6)
+    columns = [(rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(-(1 << 63), 1 << 63, n), rng.integers(-(1 << 63), 1 << 63, n), rng.integers(0, language_model.CHILDREN, n), rng.integers(1, 1 << 20, n)) for n in (7_000, 1, 3_000)]
+    rows = language_model._bundled(columns, 16)
+    assert len(rows) == 16 and rows["n"].sum() == 10_001
+    got = language_model._unbundled(rows)
+    assert sorted(zip(*(c.tolist() for c in got.values()))) == sorted(x for part in columns for x in zip(*(c.tolist() for c in part)))
+    assert ((got["w"] & np.uint64(15)) == np.repeat(rows["bucket"].to_numpy(), rows["n"])).all()
+
+
+def test_scores_are_the_same_by_any_bundles(spark, monkeypatch):
+    rows = lm_rows() + [(200, None), (201, "NEVER seen t1"), (202, "t1"), (202, "t1")]
+    df = spark.createDataFrame(rows, TEXT).repartition(3)
+    asked = lambda: sorted((r["doc_id"], round(r["score"], 6), r["n_known"]) for r in language_model.score(df, df.where("doc_id < 100")).collect())
+    by_broadcast = asked()
+    monkeypatch.setattr(language_model, "HEAD", 2)
+    for buckets, held, batch in ((32, 500_000, 300_000), (1, 10, 5), (3, 1, 40)):
+        monkeypatch.setattr(language_model, "BUCKETS", buckets)
+        monkeypatch.setattr(language_model, "HELD", held)
+        monkeypatch.setattr(language_model, "ROWS", batch)
+        assert asked() == by_broadcast
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     df = spark.createDataFrame(lm_rows(), TEXT)
     words, model = language_model.train(df.select("text"))
