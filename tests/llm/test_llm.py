@@ -587,6 +587,36 @@ def test_scores_are_the_same_by_any_bundles(spark, monkeypatch):
         assert asked() == by_broadcast
 
 
+def test_shares_come_back_in_bundles(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{(i * 31 + 7 * j) % 5003}" for j in range(30))) for i in range(400)]
+    df = spark.createDataFrame(docs, TEXT).repartition(4)
+    for name, value in (("HEAD", 2), ("BUCKETS", 1), ("ROWS", 1_000)):
+        monkeypatch.setattr(language_model, name, value)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = language_model.score(df, df)
+        got.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    made, plans = [], [got._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "MapInPandas":
+            made.append(plan.metrics().apply("pythonNumRowsReceived").value())
+    # a row for each text, and at most one for each task and bucket, of which there are 16
+    assert made and max(made) <= len(docs) + 4 * 16
+
+
+def test_large_ids_among_nulls(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HEAD", 2)
+    ids = [(1 << 60) + i for i in range(20)] + [None, None, (1 << 60) + 7]
+    df = spark.createDataFrame([(i, f"a b c{i}") for i in ids], TEXT)
+    got = [r["doc_id"] for r in language_model.score(df, df).collect()]
+    assert sorted(got, key=lambda i: i or 0) == sorted(ids, key=lambda i: i or 0)
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     df = spark.createDataFrame(lm_rows(), TEXT)
     words, model = language_model.train(df.select("text"))
